@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import canonical, names
+from quern.llm import canonical, names, scans
 from quern.sources.tables import table
 
 
@@ -20,8 +20,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.link_names(names.organisation_names(table(spark, sf_dir, "experience"), table(spark, sf_dir, "education")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Furniture, divided words and misread words of every page line."""
+    return scans.line_defects(table(spark, sf_dir, "page_extraction"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired, reflowed text of every résumé."""
+    return scans.paragraphs(table(spark, sf_dir, "page_extraction"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
