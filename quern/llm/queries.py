@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import canonical, names, scans, sentences
+from quern.llm import canonical, leaks, names, scans, sentences
 from quern.sources.tables import table
 
 
@@ -30,13 +30,18 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.paragraphs(table(spark, sf_dir, "page_extraction"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items that they leak."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End of every sentence unit of every text."""
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p6_found": p6_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
