@@ -37,8 +37,7 @@ def fuzzy_key(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case words of two or more letters, digits, + and #, without stop words, in order; null gives none."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[^A-Za-z0-9+#]+"), F.lower)
-    stop = F.array(*[F.lit(w) for w in L.STOP_WORDS])
-    return F.filter(parts, lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x))
+    return F.filter(parts, lambda x: (F.length(x) >= 2) & ~x.isin(*L.STOP_WORDS))
 
 
 def bigrams(t: Column) -> Column:
