@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import spread
+
 Q = 8
 #: Least share of an item's words in a leak.
 SHARE = 0.3
@@ -315,7 +317,7 @@ def leak_stretches(documents: DataFrame, items: DataFrame) -> DataFrame:
     sized = items.where(F.length("text") > 0).select("item_id", "text")
     size = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-int(size) // PASS_BYTES))
-    docs = documents.where(F.length("text") > 0).select("doc_id", "text")
+    docs = spread(documents.where(F.length("text") > 0).select("doc_id", "text"), "doc_id")
     found = None
     for p in range(passes):
         part = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p) if passes > 1 else sized

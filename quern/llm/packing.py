@@ -1,9 +1,8 @@
 """Items of varying length into containers of fixed capacity, first-fit decreasing.
 
 Texts are measured in tokens of a public tokenizer; what exceeds a capacity is
-cut into full pieces and a rest. Pieces below the capacity are spread over
-randomised groups of bounded size, and each group is filled independently by
-first-fit decreasing, the first container with room being found through a
+cut into full pieces and a rest. All pieces are spread over randomised groups of
+bounded size, and each group is filled independently by first-fit decreasing, the first container with room being found through a
 tournament tree of the remaining capacities.
 """
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.session import durable
+from quern.sources.tables import spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces of a group, about.
@@ -70,7 +70,7 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "n_tokens": [count(t) for t in batch["text"]]})
 
-    rows = documents.where(F.length("text") > 0).select("doc_id", "lang", "text")
+    rows = spread(documents.where(F.length("text") > 0).select("doc_id", "lang", "text"), "doc_id")
     return rows.mapInPandas(run, "doc_id long, lang string, n_tokens int")
 
 
@@ -127,10 +127,8 @@ def fill_containers(documents: DataFrame, specs: DataFrame, path: str | None = N
     cap, n = F.col("capacity_tokens"), F.col("n_tokens")
     pieces = pieces.select("spec_id", "capacity_tokens", "doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0), n - 1, cap)).alias("piece_no", "first_token"))
     pieces = pieces.select("spec_id", "capacity_tokens", "doc_id", "piece_no", "first_token", F.least(cap, n - F.col("first_token")).alias("n_tokens"))
-    full = pieces.where(F.col("n_tokens") == cap)
-    rest = pieces.where(F.col("n_tokens") < cap)
-    groups = F.broadcast(rest.groupBy("spec_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group)).cast("long").alias("groups")))  # a row per spec
-    grouped = rest.join(groups, "spec_id").withColumn("grp", F.pmod(F.xxhash64(F.lit(17), "spec_id", "doc_id", "piece_no"), F.col("groups")))
+    groups = F.broadcast(pieces.groupBy("spec_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group)).cast("long").alias("groups")))  # a row per spec
+    grouped = pieces.join(groups, "spec_id").withColumn("grp", F.pmod(F.xxhash64(F.lit(17), "spec_id", "doc_id", "piece_no"), F.col("groups")))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True])
@@ -138,9 +136,7 @@ def fill_containers(documents: DataFrame, specs: DataFrame, path: str | None = N
         spec, grp = frame["spec_id"].iloc[0], frame["grp"].iloc[0]
         return frame.assign(container_id=[f"{spec}-{grp}-{b}" for b in bins])[["spec_id", "container_id", "doc_id", "piece_no", "first_token", "n_tokens"]]
 
-    filled = grouped.groupBy("spec_id", "grp").applyInPandas(fill, "spec_id int, container_id string, doc_id long, piece_no int, first_token int, n_tokens int")
-    alone = full.select("spec_id", F.concat_ws("-", "spec_id", F.lit("full"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", "first_token", "n_tokens")
-    return filled.unionByName(alone)
+    return grouped.groupBy("spec_id", "grp").applyInPandas(fill, "spec_id int, container_id string, doc_id long, piece_no int, first_token int, n_tokens int")
 
 
 def fill_report(filled: DataFrame, specs: DataFrame) -> DataFrame:

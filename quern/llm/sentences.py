@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import spread
+
 # Headings of patents that aren't written in capitals.
 HEADINGS = (
     "What is claimed is:", "What is claimed:", "We claim:", "I claim:", "The invention claimed is:", "Claims", "Abstract", "Description", "Background", "Summary", "Detailed Description",
@@ -46,7 +48,7 @@ _BLACK = re.compile(r"【[^】\d０-９]{1,30}】")
 #: Places where an event may lie; each branch starts with one character, which the scanner looks for.
 _PLACE = re.compile(r"\.(?=[\s.)\]\"'”’“»]|\Z)|!|\?|…|।|。|！|？|．|\(|（|「|『|“|\)|）|」|』|”|\n")
 _TERM = re.compile(
-    rf"[.!?…।]+(?:\s*»|[)\]\"'”’“])*(?=\s+(?:\Z|[a-z][A-Z]|[^\s{_LOW},;:.)\]%°=+*/·<>≤≥–—\-?!])|\s*\Z)"
+    rf"[.!?…।]++(?:\s*»|[)\]\"'”’“])*+(?=\s+(?:\Z|[a-z][A-Z]|[^\s{_LOW},;:.)\]%°=+*/·<>≤≥–—\-?!])|\s*\Z)"
 )
 _LOWER = re.compile(r"\.(?=\s+[a-zа-я])")
 _CJK_TERM = re.compile(r"[。！？．]+[」』”’）)]*")
@@ -100,6 +102,7 @@ def entry_states(classes: np.ndarray) -> np.ndarray:
 
 
 _YES, _NO, _ORDINAL, _FIGURE, _LETTER, _CASED = range(6)
+_NEXT_LETTER = re.compile(r"\.\s*[^\W\d_]\.")
 _KINDS: dict[str, int] = {}
 
 
@@ -139,9 +142,9 @@ def _ends(text: str, at: int) -> bool:
     if kind == _FIGURE:
         return not _next(text, at + 1).isdigit()
     words = text[max(0, at - len(token) - 16) : at - len(token)].split()
-    if kind == _ORDINAL:
-        return not (words and words[-1].lower() in BEFORE_ORDINAL and _next(text, at + 1).isupper())
-    return not (words and words[-1].endswith("."))
+    if kind == _LETTER:  # one of several, as in z. B.
+        return not (words and words[-1].endswith(".")) and not _NEXT_LETTER.match(text, at)
+    return not (words and words[-1].lower() in BEFORE_ORDINAL and _next(text, at + 1).isupper())
 
 
 def _next(text: str, at: int) -> str:
@@ -306,4 +309,5 @@ def sentence_units(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         return pd.Series(out)
 
     rows = documents.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(id_col, text_col)
+    rows = spread(rows, id_col)
     return rows.select(F.col(id_col).alias("doc_id"), F.explode(ends(text_col)).alias("end_char"))
