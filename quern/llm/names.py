@@ -105,7 +105,7 @@ def parse_name(name: str, kinds: dict[str, tuple[str, ...]]) -> tuple[list[str],
     found: set[str] = set()
 
     def kind_of(word: str) -> str | None:
-        w = word.lower().strip(".")
+        w = word.lower().strip(".").replace("'", "")
         exact = next((k for k, forms in kinds.items() if w in forms), None)
         return exact or next((k for k, forms in kinds.items() if _near(w, forms)), None)
 
@@ -124,7 +124,8 @@ def parse_name(name: str, kinds: dict[str, tuple[str, ...]]) -> tuple[list[str],
     if comma and head and not stated(tail):
         words = [w for w in re.split(r"[\s,&/+-]+", head) if w]
         kinded = any(kind_of(w) for w in words) or _LEGAL_RX.search(head) or any(w.lower().strip(".") in LEGAL for w in words)
-        if kinded and not any(kind_of(w) or w.lower().strip(".") in LEGAL for w in re.split(r"[\s&/+-]+", tail) if w):
+        parts = [w for x in words for w in re.findall(r"[A-Z][^\WA-Z_]{2,}|[^\W_]+", x) if w.lower() not in JOINING]
+        if (kinded or len(parts) >= 2) and not any(kind_of(w) or w.lower().strip(".") in LEGAL for w in re.split(r"[\s&/+-]+", tail) if w):
             text = head
     text = _LEGAL_RX.sub(lambda m: " " if m.start() > 0 else m[0], text)
     words = [w for w in re.split(r"[\s,&/+]+|(?<=[^\W_.])-(?=[^\W_])|(?<=\.)-(?=[^\W_])", text) if w.strip(".-'")]
