@@ -397,7 +397,8 @@ def l9_vocabulary(spark, sf):
     """Taxonomy names that a résumé's bullets hold as substrings, by document."""
     t = taxonomy(spark, sf).where(F.col("entry_kind") == "skill").select(F.lower("canonical").alias("name")).distinct()
     text = jobs(spark, sf).groupBy("id").agg(F.lower(F.array_join(F.array_sort(F.collect_list(F.array_join(FE._bullets("bullets"), " "))), " ")).alias("text"))
-    hits = text.join(F.broadcast(t.limit(10_000)), F.contains("text", F.col("name")))  # names of the list, at most 10,000
+    small = t.count() <= 10_000  # only a list of a checked size is sent to every task
+    hits = text.join(F.broadcast(t) if small else t, F.contains("text", F.col("name")))
     return hits.groupBy("id").agg(F.count("*").alias("n_skills"))
 
 
