@@ -84,7 +84,7 @@ def template(line: str, name: list[str], known=None) -> str:
     for w in text.split():
         a, b = _core(w)
         word = w[a:b].lower()
-        like = any(word == n or (len(n) > 3 and abs(len(n) - len(word)) <= 2 and levenshtein(word, n) <= 2) for n in name)
+        like = any(word == n or (len(n) > 3 and abs(len(n) - len(word)) <= 2 and (word[:1] == n[0] or word[-1:] == n[-1]) and levenshtein(word, n) <= 2) for n in name)
         out.append(w[:a] + "<n>" + w[b:] if like and word else w.lower())
     return " ".join(out)
 
@@ -140,13 +140,11 @@ class Model:
 
     def correct(self, word: str, context: list[str], ratio: float = RATIO) -> str | None:
         """The known word that word is a misread form of, None if there is none."""
-        letters = sum(ch.isalpha() for ch in word)
-        if not letters or len(word) > 40 or (len(word) <= 2 and word.isascii() and word.isalpha()):
-            return None
         key = (word, ratio)
         options = self._seen.get(key)
         if options is None:
-            options = self.candidates(word, ratio)
+            bare = not any(ch.isalpha() for ch in word) or len(word) > 40 or (len(word) <= 2 and word.isascii() and word.isalpha())
+            options = [] if bare else self.candidates(word, ratio)
             if len(self._seen) > 200_000:
                 self._seen.clear()
             self._seen[key] = options
