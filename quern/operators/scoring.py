@@ -73,9 +73,32 @@ def top_factors(all_factors: DataFrame, keys: list[str], k: int = 5) -> DataFram
     return all_factors.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "side", "rank", "text")
 
 
+# Messages of the flags.
+RED_FLAGS = {
+    "job_hopper_flag": "Job-Hopping Detected (3+ short tenures)",
+    "keyword_stuffing_penalty": "Keyword Stuffing Detected (Extremely high skill density)",
+    "overqualified_flag": "Over-Qualification Risk (Seniority exceeds role requirements)",
+}
+# Factors that stand in where a side has none.
+BASELINE_FACTOR = "Candidate shows baseline alignment with the role"
+NO_GAP_FACTOR = "No significant gaps identified — review manually for culture fit"
+
+
+def with_fallbacks(top: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds a factor for a side without any (E5): praise only if skills, experience and semantic scores average 40 or more."""
+    sides = top.groupBy(*keys).agg(F.bool_or(F.col("side") == "positive").alias("_p"), F.bool_or(F.col("side") == "negative").alias("_n"))
+    mean = (F.col("skills_score") + F.col("experience_score") + F.col("semantic_score")) / 3
+    rows = scores.select(*keys, mean.alias("_m")).join(sides, keys, "left")
+    none = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    praise = F.when(none("_p") & (F.col("_m") >= 40), F.struct(F.lit("positive").alias("side"), F.lit(1).alias("rank"), F.lit(BASELINE_FACTOR).alias("text")))
+    blame = F.when(none("_n"), F.struct(F.lit("negative").alias("side"), F.lit(1).alias("rank"), F.lit(NO_GAP_FACTOR).alias("text")))
+    added = rows.select(*keys, F.explode(F.array_compact(F.array(praise, blame))).alias("f")).select(*keys, "f.*")
+    return top.select(*keys, "side", "rank", "text").unionByName(added)
+
+
 def red_flags(features: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., flags): messages of the raised flags."""
-    names = {"job_hopper_flag": "Frequent job changes", "overqualified_flag": "May be overqualified", "keyword_stuffing_penalty": "Possible keyword stuffing"}
+    names = RED_FLAGS
     tests = [F.when(F.coalesce(F.col(c), F.lit(0.0)) > 0.5, F.lit(t)) for c, t in names.items() if c in features.columns]
     return features.select(*keys, F.array_compact(F.array(*tests)).alias("flags"))
 

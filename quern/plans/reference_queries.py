@@ -348,6 +348,12 @@ def e4_top_factors(spark, sf):
     return S.top_factors(S.factors(_features(spark, sf), ["id"]), ["id"])
 
 
+def e5_fallbacks(spark, sf):
+    f = _features(spark, sf)
+    rows = S.with_fallbacks(S.top_factors(S.factors(f, ["id"]), ["id"]), S.category_scores(f), ["id"])
+    return rows.groupBy("side", "rank").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+
+
 def u1_red_flags(spark, sf):
     f = S.red_flags(_features(spark, sf), ["id"])
     return f.select("id", F.array_join("flags", "; ").alias("flags"))
@@ -369,6 +375,12 @@ def s4_reject_empty(spark, sf):
     return d.groupBy(bad.alias("status")).agg(F.count("*").alias("n"))
 
 
+def s11_limits(spark, sf):
+    d = table(spark, sf, "documents")
+    over = F.when(F.octet_length(F.encode("text", "utf-8")) > 2 * 1024 * 1024, "file").when(F.length("text") > 15000, "text").otherwise("fits")
+    return d.where(F.col("text").isNotNull()).groupBy(over.alias("over")).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
+
+
 def s8_ocr_routing(spark, sf):
     p = table(spark, sf, "page_extraction").distinct()
     return p.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) < 30).alias("needs_ocr"))
@@ -452,8 +464,8 @@ _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     r1_token_counts, r1_unique_terms, r2_bm25_topk, r3_bm25_norm, r4_idf_lookup, r5_tfidf_cosine, r6_vector_cosine_topk, r6_pair_cosine, r7_r15_overlap, r13_tf_weighted,
     k1_k2_k3_normalizers, k4_k5_alias_precedence, k9_k10_similarity, k7_dictionary_scan, k8_longest_match, k11_fuzzy_best, k12_extract_skills, k13_primary_domain, k14_gap, k15_partial,
     k14_gap_tpch, f_skills_20, l6_corroboration, l8_domain_distribution, sec_lines, sec_headings, sec_sections, sec_preamble, x1_x3_contacts, x4_full_name,
-    x6_experience, x8_education, x10_skills, x11_projects, x12_certs, f_experience_15, f_education_10, f_projects_certs, f_quality, c1_c8_scores, c8_rank, e1_rules, e4_top_factors, u1_red_flags,
-    s1_json_decode, s2_report_json, s4_reject_empty, s8_ocr_routing, s9_ocr_confidence, s10_clean_text, s12_page_text, s14_query_window, l9_vocabulary, l10_set_gap, l12_heuristic,
+    x6_experience, x8_education, x10_skills, x11_projects, x12_certs, f_experience_15, f_education_10, f_projects_certs, f_quality, c1_c8_scores, c8_rank, e1_rules, e4_top_factors, e5_fallbacks, u1_red_flags,
+    s1_json_decode, s2_report_json, s4_reject_empty, s11_limits, s8_ocr_routing, s9_ocr_confidence, s10_clean_text, s12_page_text, s14_query_window, l9_vocabulary, l10_set_gap, l12_heuristic,
     m2_split, m3_gbt, m4_auc, tenure_orders,
 ]
 

@@ -259,7 +259,11 @@ def oracle_sql() -> dict[str, str]:
         "c8_rank": "select jd_id, doc_id, overall_score, rank::int as rank from (select *, rank() over(partition by jd_id order by overall_score desc) as rank from (select jd_id, doc_id, max(overall_score) overall_score from cpp_score where overall_score is not null group by all)) where rank<=10",
         "e1_rules": f"{_FACTORS} select feature, side, count(*) n from ff group by all",
         "e4_top_factors": f"{_FACTORS} select id, side, rank::int as rank, text from (select *, row_number() over(partition by id, side order by weight desc, ord) as rank from ff) where rank<=5",
-        "u1_red_flags": f"{_BOTH} select id, array_to_string(list_filter([case when coalesce(job_hopper_flag,0)>0.5 then 'Frequent job changes' end, case when coalesce(overqualified_flag,0)>0.5 then 'May be overqualified' end], lambda x: x is not null),'; ') flags from fu",
+        "e5_fallbacks": f"""{_FACTORS}, tf as (select id, side, rank, text from (select *, row_number() over(partition by id, side order by weight desc, ord) as rank from ff) where rank<=5), sd as (select id, bool_or(side='positive') p, bool_or(side='negative') n from tf group by id),
+ cs as (select id, {_score("experience")}/3 m from fu), ad as (select id, m, coalesce(p,false) p, coalesce(n,false) n from cs left join sd using(id)),
+ al as (select id, side, rank::int as rank, text from tf union all select id, 'positive', 1, 'baseline' from ad where not p and m>=40 union all select id, 'negative', 1, 'no gap' from ad where not n) select side, rank, count(*) n, count(distinct text) texts from al group by all""",
+        "s11_limits": "select case when octet_length(encode(text))>2097152 then 'file' when length(text)>15000 then 'text' else 'fits' end as over, count(*) n, max(length(text))::int longest from documents where text is not null group by 1",
+        "u1_red_flags": f"{_BOTH} select id, array_to_string(list_filter([case when coalesce(job_hopper_flag,0)>0.5 then 'Job-Hopping Detected (3+ short tenures)' end, case when coalesce(overqualified_flag,0)>0.5 then 'Over-Qualification Risk (Seniority exceeds role requirements)' end], lambda x: x is not null),'; ') flags from fu",
         "s1_json_decode": "select event_type, count(*) n, sum((props->>'$.k')::bigint)::bigint total_k from events group by event_type",
         "s2_report_json": f"""{_BOTH}, cs as (select id, {_score("experience")} ex, {_score("education")} ed from fu) select id, {_up("least(100,greatest(0,ex*0.28+ed*0.10))", 1)} overall_score, {_up("ex", 1)} experience from cs""",
         "s4_reject_empty": "select case when text is null then 'missing' when trim(text,' ')='' then 'empty' else 'ok' end status, count(*) n from documents group by 1",
