@@ -98,6 +98,10 @@ _LEGAL_RX = re.compile(
 )
 
 
+#: Kinds of words that were looked up, by list of kinds.
+_KIND_OF: dict[tuple[int, str], str | None] = {}
+
+
 def parse_name(name: str, kinds: dict[str, tuple[str, ...]]) -> tuple[list[str], str, bool]:
     """(proper words, kind or '', whether a proper word is marked as cut by a dot)."""
     text = " ".join(_plain(name).split())
@@ -105,9 +109,14 @@ def parse_name(name: str, kinds: dict[str, tuple[str, ...]]) -> tuple[list[str],
     found: set[str] = set()
 
     def kind_of(word: str) -> str | None:
-        w = word.lower().strip(".").replace("'", "")
-        exact = next((k for k, forms in kinds.items() if w in forms), None)
-        return exact or next((k for k, forms in kinds.items() if _near(w, forms)), None)
+        key = (id(kinds), word)
+        if key not in _KIND_OF:
+            if len(_KIND_OF) > 200_000:
+                _KIND_OF.clear()
+            w = word.lower().strip(".").replace("'", "")
+            exact = next((k for k, forms in kinds.items() if w in forms), None)
+            _KIND_OF[key] = exact or next((k for k, forms in kinds.items() if _near(w, forms)), None)
+        return _KIND_OF[key]
 
     def stated(part: str) -> bool:
         """True if part consists of kind words, legal forms and joining words."""
