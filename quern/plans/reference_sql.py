@@ -268,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "s2_report_json": f"""{_BOTH}, cs as (select id, {_score("experience")} ex, {_score("education")} ed from fu) select id, {_up("least(100,greatest(0,ex*0.28+ed*0.10))", 1)} overall_score, {_up("ex", 1)} experience from cs""",
         "s4_reject_empty": "select case when text is null then 'missing' when trim(text,' ')='' then 'empty' else 'ok' end status, count(*) n from documents group by 1",
         "s8_ocr_routing": "select doc_id, count(*) pages, count(*) filter (coalesce(length(text),0)<30) needs_ocr from (select distinct * from page_extraction) group by doc_id",
-        "s9_ocr_confidence": f"select doc_id, coalesce({_up('avg(ocr_confidence)', 4)},1.0) confidence from (select distinct * from page_extraction) group by doc_id",
+        "s9_ocr_confidence": "select doc_id, coalesce(floor((2*s+n)::double/nullif(2*n,0))/10000,1.0) confidence from (select doc_id, sum(floor(ocr_confidence*10000+0.5)) s, count(ocr_confidence) n from (select distinct * from page_extraction) group by doc_id)",
         "s10_clean_text": f"select doc_id, md5({clean}) clean_md5 from text_extraction",
         "s12_page_text": "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,'(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>',' ','g'),'(?s)<!--.*?-->',' ','g'),'(?s)<[^>]*>',' ','g'),'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&amp;','&'),'[ \\t\\n\\r]+',' ','g'),' ') as text from (values " + ",".join(f"({i}::int,{_s(h)})" for i, h in PAGES) + ") p(page_id,html)",
         "s14_query_window": f"select doc_id, length({window})::int n_chars, md5({window}) text_md5 from documents where text is not null",
