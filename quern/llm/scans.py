@@ -89,6 +89,29 @@ def template(line: str, name: list[str], known=None) -> str:
     return " ".join(out)
 
 
+_SLIPS = str.maketrans("0123456789|!$@€", "olzeasbtbgllsae")
+_FOLD = str.maketrans("oeagqijtfvynuhz", "cccccllllnnnnbs")
+
+
+def fold(line: str, name: list[str]) -> str:
+    """template() with letters that are misread for each other made one, so that slips don't part equal lines."""
+
+    def letters(m: re.Match) -> str:
+        digits = sum(ch.isdigit() for ch in m[0])
+        return m[0].translate(_SLIPS) if sum(ch.isalpha() for ch in m[0]) >= 3 * digits else m[0]
+
+    text = re.sub(r"\S+", letters, _without_label(line))
+    out = template(text, name)
+    for read, printed in (("rn", "m"), ("vv", "w"), ("cl", "d")):
+        out = out.replace(read, printed)
+    return " ".join(w if "<n>" in w else w.translate(_FOLD) for w in out.split())
+
+
+def _close(t: str, x: str) -> bool:
+    """Whether two templates are equal but for slips."""
+    return abs(len(t) - len(x)) <= 3 and levenshtein(t, x) <= (3 if len(x) >= 12 else 2 if len(x) >= 8 else 1)
+
+
 def name_words(first_lines: str | None) -> list[str]:
     """Words of a document's title line: of its first lines the first of two to four words in capitals."""
     for line in (first_lines or "").split("\n"):
@@ -106,6 +129,7 @@ class Model:
     templates: set[str]
     figure_labels: set[str]
     vectors: dict[str, np.ndarray] = field(default_factory=dict)
+    masked: set[str] = field(default_factory=set)  # templates with one word, that varies over documents, as <w>
     wild: re.Pattern | None = None
     _seen: dict = field(default_factory=dict)
 
@@ -113,6 +137,10 @@ class Model:
         named = sorted(t for t in self.templates if "<n>" in t)
         if named:
             self.wild = re.compile("|".join(re.escape(t).replace("<n>", r"[^\W\d_]+") for t in named))
+        self._places: dict[int, dict[int, list[str]]] = {}  # masked templates by number of words and place of <w>
+        for t in sorted(self.masked):
+            words = t.split(" ")
+            self._places.setdefault(len(words), {}).setdefault(words.index("<w>"), []).append(t)
 
     def is_template(self, t: str, anonymous: bool = False) -> bool:
         """Whether t is a furniture template but for slips; anonymous: the document's name is unknown, any word may be it."""
@@ -122,12 +150,24 @@ class Model:
             return True
         hit = self._seen.get(t)
         if hit is None:
-            hit = any(abs(len(t) - len(x)) <= 3 and levenshtein(t, x) <= (3 if len(x) >= 12 else 2 if len(x) >= 8 else 1) for x in self.templates)
+            hit = any(_close(t, x) for x in self.templates)
             if len(self._seen) > 200_000:
                 self._seen.clear()
             self._seen[t] = hit
         return hit
 
+    def is_masked(self, t: str) -> bool:
+        """Whether t is, but for slips, a furniture template of which one word varies over documents."""
+        words = t.split(" ")
+        hit = self._seen.get((t, "<w>"))
+        if hit is None:
+            hit = False
+            for at, shapes in self._places.get(len(words), {}).items():
+                variant = " ".join([*words[:at], "<w>", *words[at + 1 :]])
+                hit = hit or variant in self.masked or any(_close(variant, x) for x in shapes)
+            self._seen[t, "<w>"] = hit
+        return hit
+
     def candidates(self, word: str, ratio: float) -> list[tuple[str, int]]:
         """(known word, glyph edits) that word may stand for, the fewest edits only; [] if word is right."""
         low = word.lower()
@@ -184,8 +224,8 @@ def _body_words(line: str) -> list[str]:
     return out
 
 
-def _furniture(lines: list[str], page: int, name: list[str], model: Model) -> set[int]:
-    """Line numbers (from 0) of running headers, footers and page numbers."""
+def _furniture(lines: list[str], page: int, name: list[str], model: Model, own: list[str]) -> set[int]:
+    """Line numbers (from 0) of running headers, footers and page numbers; own: templates that recur in the document."""
     filled = [i for i, x in enumerate(lines) if x.strip()]
     found: set[int] = set()
 
@@ -202,7 +242,11 @@ def _furniture(lines: list[str], page: int, name: list[str], model: Model) -> se
             return True
         if _LABEL_ALONE.fullmatch(text) and re.search(r"\d|\b[ivxlc]+\b", text, re.I):
             return True
-        return model.is_template(template(text, name), not name)
+        t = template(text, name)
+        if model.is_template(t, not name):
+            return True
+        title = page == 1 and i in filled[: EDGE + 1] and 2 <= len(text.split()) <= 4 and all(w.isalpha() for w in text.split())
+        return not title and (any(_close(t, x) for x in own) or model.is_masked(t))
 
     for order in (filled, filled[::-1]):
         taken = 0
@@ -226,18 +270,18 @@ class Page:
     text: str
 
 
-def repair(text: str, page: int, name: list[str], next_head: str | None, ocr: bool, confidence: float | None, model: Model) -> Page:
+def repair(text: str, page: int, name: list[str], next_head: str | None, ocr: bool, confidence: float | None, model: Model, own: list[str]) -> Page:
     """Defects of each line and the reflowed paragraphs of a page; next_head is the text of the page after it."""
     lines = text.split("\n")
     defects: list[set[str]] = [set() for _ in lines]
-    furniture = _furniture(lines, page, name, model)
+    furniture = _furniture(lines, page, name, model, own)
     for i in furniture:
         defects[i].add("furniture")
     body = [i for i in range(len(lines)) if i not in furniture and lines[i].strip()]
     follow = None
     if next_head:
         rest = next_head.split("\n")
-        skip = _furniture(rest, page + 1, name, model)
+        skip = _furniture(rest, page + 1, name, model, own)
         follow = next((x for k, x in enumerate(rest) if k not in skip and x.strip()), None)
     ratio = RATIO * (2 if confidence is not None and confidence >= SURE else 1)
     fixed: dict[int, list[str]] = {}
@@ -385,14 +429,10 @@ def _with_neighbours(pages: DataFrame) -> DataFrame:
     return pages.join(heads, ["doc_id", "page_number"], "left").join(names, "doc_id", "left")
 
 
-def learn(pages: DataFrame, known: DataFrame, dim: int = 32) -> Model:
-    """The model of a corpus; known is the result of _with_neighbours.
-
-    What reaches the driver is bounded: known words by 1 / SHARE, templates
-    and labels by their least count of documents, vectors by the known words.
-    """
+def _observed(known: DataFrame) -> DataFrame:
+    """(doc_id, page_number, words, edges, labels) of pages with their neighbours: what the model is learned from."""
 
-    @F.pandas_udf("words array<string>, edges array<struct<t:string,edge:boolean>>, labels array<struct<l:string,odd:boolean>>")
+    @F.pandas_udf("words array<string>, edges array<struct<t:string,key:string,edge:boolean,top:boolean>>, labels array<struct<l:string,odd:boolean>>")
     def observe(text: pd.Series, page: pd.Series, first: pd.Series) -> pd.DataFrame:
         rows = []
         for t, p, f in zip(text, page, first, strict=True):
@@ -409,7 +449,7 @@ def learn(pages: DataFrame, known: DataFrame, dim: int = 32) -> Model:
                     continue
                 short = len(x) <= 90
                 if short:
-                    edges.append({"t": template(x, name), "edge": i in outer})
+                    edges.append({"t": template(x, name), "key": fold(x, name) if i in outer else None, "edge": i in outer, "top": i in top})
                 if re.fullmatch(r"\d{1,4}", x.strip()) and previous:
                     labels.append({"l": previous, "odd": int(x) != p})
                 use = tokens[1:] if after_divided or not started else tokens
@@ -423,7 +463,53 @@ def learn(pages: DataFrame, known: DataFrame, dim: int = 32) -> Model:
             rows.append({"words": words, "edges": edges, "labels": labels})
         return pd.DataFrame(rows, columns=["words", "edges", "labels"])
 
-    seen = durable(known.select("doc_id", "page_number", observe("text", "page_number", "first_lines").alias("o")).select("doc_id", "page_number", "o.*"))
+    return durable(known.select("doc_id", "page_number", observe("text", "page_number", "first_lines").alias("o")).select("doc_id", "page_number", "o.*"))
+
+
+def _lettered(t: str):
+    return F.length(F.regexp_replace(t, r"<[nw]>|\W|\d", "")) > 0
+
+
+def _masked(lines: DataFrame) -> DataFrame:
+    """Adds v, the template with one of its words masked, and that word w; a row for each word of templates of two or more words."""
+    words = F.split("t", " ")
+    at = lines.where(F.size(words) >= 2).select("*", F.posexplode(words).alias("k", "w"))
+    return at.where(F.col("w").rlike(r"[^\W\d_]") & ~F.col("w").contains("<n>")).withColumn("v", F.array_join(F.transform(words, lambda x, i: F.when(i == F.col("k"), F.lit("<w>")).otherwise(x)), " ")).where(_lettered("v"))
+
+
+def _masked_templates(lines: DataFrame, least: float) -> set[str]:
+    """Edge templates in which one word varies over at least `least` documents; they seldom stand within a page."""
+    outer = _masked(lines.where("edge")).groupBy("v").agg(
+        F.count("*").alias("edge"), F.count_if(F.col("page_number") > 1).alias("later"), F.approx_count_distinct("doc_id").alias("docs"), F.approx_count_distinct("w").alias("words")
+    )
+    likely = outer.where((F.col("docs") >= least) & (F.col("words") >= 4) & (F.col("later") >= 0.3 * F.col("edge"))).select("v", "edge")
+    inner = _masked(lines.where("not edge").groupBy("t").agg(F.count("*").alias("n"))).join(F.broadcast(likely.select("v")), "v").groupBy("v").agg(F.sum("n").alias("inner"))  # bounded by least
+    kept = likely.join(inner, "v", "left").where(F.col("edge") >= 0.9 * (F.col("edge") + F.coalesce("inner", F.lit(0))))
+    return {r.v for r in kept.select("v").collect()}
+
+
+def _recurring(seen: DataFrame) -> DataFrame:
+    """(doc_id, own): edge templates, slips allowed, that stand on the same edge of at least two and at least half of a document's pages.
+
+    At most eight a document. Headings and lines of the body, which also stand
+    within pages of the corpus, are none.
+    """
+    lines = seen.select("doc_id", "page_number", F.explode("edges").alias("e")).select("doc_id", "page_number", "e.*")
+    n_pages = seen.groupBy("doc_id").agg(F.countDistinct("page_number").alias("pages"))
+    by_page = lines.where("edge").groupBy("doc_id", "page_number", "key").agg(F.min("t").alias("t"), F.max("top").alias("top"), F.min("top").alias("low"))
+    by_doc = by_page.groupBy("doc_id", "key").agg(F.min("t").alias("t"), F.count_if("top").alias("top"), F.count_if(~F.col("low")).alias("bottom"))
+    often = by_doc.join(n_pages, "doc_id").where(F.greatest("top", "bottom") >= F.greatest(F.lit(2), F.col("pages") / 2)).where(_lettered("t"))
+    shares = lines.groupBy("t").agg(F.count_if("edge").alias("edge"), F.count("*").alias("n"))
+    outer = often.join(shares.where(F.col("edge") >= 0.9 * F.col("n")).select("t"), "t", "left_semi")
+    return outer.groupBy("doc_id").agg(F.array_sort(F.collect_set("t")).alias("own"))
+
+
+def learn(known: DataFrame, seen: DataFrame, dim: int = 32) -> Model:
+    """The model of a corpus; known is the result of _with_neighbours, seen of _observed.
+
+    What reaches the driver is bounded: known words by 1 / SHARE, templates
+    and labels by their least count of documents, vectors by the known words.
+    """
     counted = seen.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST, int(total * SHARE))
@@ -442,9 +528,10 @@ def learn(pages: DataFrame, known: DataFrame, dim: int = 32) -> Model:
     frequent = shapes.where((F.col("docs") >= max(4, n_docs * 0.004)) & (F.col("edge") >= 0.9 * F.col("n")) & (F.col("later") >= 0.3 * F.col("edge")) & (F.length(F.regexp_replace("t", r"<n>|\W", "")) > 0))
     templates = {r.t for r in frequent.select("t").collect()}
     figures = seen.select(F.explode("labels").alias("x")).groupBy("x.l").agg(F.count_if("x.odd").alias("odd"), F.count("*").alias("n"))
+    masked = _masked_templates(seen.select("doc_id", "page_number", F.explode("edges").alias("e")).select("doc_id", "page_number", "e.*"), max(4, n_docs * 0.004))
     labels = {r.l for r in figures.where((F.col("odd") >= 3) & (F.col("odd") >= 0.5 * F.col("n"))).collect()}
     vectors = _vectors(seen, least, dim) if counts else {}
-    return Model(counts, templates, labels, vectors)
+    return Model(counts, templates, labels, vectors, masked)
 
 
 def _vectors(seen: DataFrame, least: int, dim: int) -> dict[str, np.ndarray]:
@@ -465,15 +552,17 @@ def _vectors(seen: DataFrame, least: int, dim: int) -> dict[str, np.ndarray]:
 def _repaired(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, defects array<struct<line_no,defect>>, text) of every page."""
     known = durable(_with_neighbours(_pages(pages)))
-    shared = pages.sparkSession.sparkContext.broadcast(learn(pages, known))
+    seen = _observed(known)
+    shared = pages.sparkSession.sparkContext.broadcast(learn(known, seen))
+    known = known.join(_recurring(seen), "doc_id", "left")
 
     def run(batches):
         model = shared.value
         for batch in batches:
             out = []
-            for d, p, t, o, c, nh, fl in zip(batch.doc_id, batch.page_number, batch.text, batch.used_ocr, batch.ocr_confidence, batch.next_head, batch.first_lines, strict=True):
+            for d, p, t, o, c, nh, fl, own in zip(batch.doc_id, batch.page_number, batch.text, batch.used_ocr, batch.ocr_confidence, batch.next_head, batch.first_lines, batch.own, strict=True):
                 conf = None if c is None or c != c else float(c)
-                got = repair(t, int(p), name_words(fl), nh, bool(o), conf, model)
+                got = repair(t, int(p), name_words(fl), nh, bool(o), conf, model, [] if own is None else list(own))
                 out.append((d, p, [{"line_no": i + 1, "defect": x} for i, s in enumerate(got.defects) for x in sorted(s)], got.text))
             yield pd.DataFrame(out, columns=["doc_id", "page_number", "defects", "text"])
 
