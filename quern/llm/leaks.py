@@ -23,7 +23,9 @@ from quern.sources.tables import spread
 Q = 8
 #: Least share of an item's words in a leak.
 SHARE = 0.3
-#: Hits on q-grams of only one item that make a pair a candidate.
+#: Items that share this part of the q-grams of the smaller one are variants of one item.
+VARIANT = 0.75
+#: Hits on q-grams of only one item and its variants that make a pair a candidate.
 EVIDENCE = 6
 #: Least share of the q-grams of no other item in a run that its document must have.
 OWN_SHARE = 0.3
@@ -114,7 +116,9 @@ class Index:
     item: np.ndarray = field(default=None)
     at: np.ndarray = field(default=None)
     single: np.ndarray = field(default=None)
-    own: list[np.ndarray] = field(default=None)  # running count of single-item q-grams along each item
+    own: list[np.ndarray] = field(default=None)  # running count of the q-grams of one item and its variants along each item
+    holder: np.ndarray = field(default=None)  # items of each q-gram, once each
+    held: np.ndarray = field(default=None)
     bits: np.ndarray = field(default=None)
     shift: np.uint64 = field(default=None)
 
@@ -146,8 +150,13 @@ class Index:
         grams, self.item, self.at = grams[order], item[order], at[order]
         self.grams, first = np.unique(grams, return_index=True)
         self.first = np.append(first, len(grams))
-        low = np.minimum.reduceat(self.item, first) if len(first) else self.item
-        high = np.maximum.reduceat(self.item, first) if len(first) else self.item
+        fresh = np.ones(len(self.item), dtype=bool)
+        fresh[1:] = self.item[1:] != self.item[:-1]
+        fresh[first] = True
+        self.holder, self.held = self.item[fresh], np.append(0, np.cumsum(fresh))[self.first]
+        variant = self._variants()[self.item]
+        low = np.minimum.reduceat(variant, first) if len(first) else variant
+        high = np.maximum.reduceat(variant, first) if len(first) else variant
         self.single = low == high
         lone = np.repeat(self.single, np.diff(self.first))
         self.own = []
@@ -162,11 +171,31 @@ class Index:
         return self
 
 
+    def _variants(self) -> np.ndarray:
+        """Group of each item: items linked by sharing VARIANT of the smaller one's q-grams.
+
+        Such a pair shares one of the rarest 1 - VARIANT of the smaller item's
+        q-grams, so that only these are looked up.
+        """
+        group = np.arange(len(self.ids))
+        slot = np.repeat(np.arange(len(self.grams)), np.diff(self.held))
+        order = np.argsort(self.holder, kind="stable")
+        of = np.split(slot[order], np.cumsum(np.bincount(self.holder, minlength=len(self.ids)))[:-1]) if len(self.ids) else []
+        n = np.diff(self.held)
+        for k, mine in enumerate(of):
+            rare = mine[np.argsort(n[mine], kind="stable")][: len(mine) - int(np.ceil(VARIANT * len(mine))) + 1]
+            near = [self.holder[self.held[g] : self.held[g + 1]] for g in rare.tolist() if n[g] > 1]
+            for other in np.unique(np.concatenate(near)).tolist() if near else []:
+                if group[other] != group[k] and len(of[other]) >= len(mine) and len(np.intersect1d(mine, of[other], assume_unique=True)) >= VARIANT * len(mine):
+                    group[group == group[other]] = group[k]
+        return group
+
+
 def _runs(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(i0, i1, j0, j1) of runs of hits on one band of diagonals that hold enough of the item's own q-grams.
 
     Passages that only share an item's turns of phrase have hits on its common
-    q-grams alone; own is the running count of those of no other item.
+    q-grams alone; own is the running count of those of no other item but variants.
     """
     d = j - i
     order = np.lexsort((j, d))
@@ -245,10 +274,11 @@ def scan(doc_ids: list[int], texts: list[str], index: Index) -> list[tuple[int,
     maybe, slot = maybe[hit], slot[hit]
     start_arr = np.array(starts)
     doc = np.searchsorted(start_arr, maybe, side="right") - 1
-    # candidates: pairs with enough evidence on grams of one item only
+    # candidates: pairs with enough evidence on grams of one item and its variants only
     one = index.single[slot]
-    only = index.item[index.first[slot[one]]]
-    pair = doc[one].astype(np.int64) * len(index.ids) + only
+    n = index.held[slot[one] + 1] - index.held[slot[one]]
+    off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    pair = np.repeat(doc[one].astype(np.int64) * len(index.ids), n) + index.holder[np.repeat(index.held[slot[one]], n) + off]
     pairs, count = np.unique(pair, return_counts=True)
     wanted = pairs[count >= EVIDENCE]
     evidence = dict(zip(wanted.tolist(), count[count >= EVIDENCE].tolist(), strict=True))
@@ -311,7 +341,8 @@ def leak_stretches(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, words, item_words, evidence): the longest verified passage of each pair.
 
     Null and empty texts have no rows; items of under 8 letters can't be
-    found; empty tables give none; further columns are ignored.
+    found; empty tables give none; further columns are ignored. Equal item
+    texts are searched once and stand for all of their item_ids.
     """
     spark = documents.sparkSession
     sized = items.where(F.length("text") > 0).select("item_id", "text")
@@ -320,11 +351,12 @@ def leak_stretches(documents: DataFrame, items: DataFrame) -> DataFrame:
     docs = spread(documents.where(F.length("text") > 0).select("doc_id", "text"), "doc_id")
     found = None
     for p in range(passes):
-        part = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p) if passes > 1 else sized
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.orderBy("item_id").collect()])  # about PASS_BYTES
+        part = sized.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == p) if passes > 1 else sized
+        alike = part.groupBy("text").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).orderBy("ids", "text")
+        shared = spark.sparkContext.broadcast([(list(r.ids), r.text) for r in alike.collect()])  # about PASS_BYTES
 
         def run(batches, shared=shared):
-            index = Index.build(shared.value)
+            index = Index.build([(k, text) for k, (_, text) in enumerate(shared.value)])
             for batch in batches:
                 ids, texts, rows, at, chars = batch["doc_id"].tolist(), batch["text"].tolist(), [], 0, 0
                 for k, t in enumerate(texts):
@@ -332,6 +364,7 @@ def leak_stretches(documents: DataFrame, items: DataFrame) -> DataFrame:
                     if chars > 400_000 or k == len(texts) - 1:
                         rows += scan(ids[at : k + 1], texts[at : k + 1], index)
                         at, chars = k + 1, 0
+                rows = [(d, i, *rest) for d, k, *rest in rows for i in shared.value[k][0]]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "item_words", "evidence"])
 
         got = docs.mapInPandas(run, "doc_id long, item_id long, words int, item_words int, evidence int")

@@ -52,3 +52,12 @@ def test_several_passes(spark, monkeypatch):
     d = spark.createDataFrame([(1, ITEM), (2, CJK)], "doc_id long, text string")
     items = spark.createDataFrame([(100, ITEM), (200, CJK)], "item_id long, text string")
     assert {tuple(r) for r in L.leaks(d, items).collect()} == {(1, 100), (2, 200)}
+
+
+def test_repeated_and_nearly_equal_items(spark):
+    words = ITEM.split()
+    near = ITEM.replace("near 754.7", "near 754.9").replace("29 days", "31 days")
+    d = spark.createDataFrame([(1, "Intro. " + ITEM), (2, "X " + " ".join(words[12:27]) + " y."), (3, LIKE), (4, CJK)], "doc_id long, text string")
+    items = spark.createDataFrame([(100, ITEM), (100, ITEM), (101, ITEM), (102, near), (103, ITEM.upper()), (200, CJK), (201, CJK)], "item_id long, text string")
+    want = {(k, i) for k in (1, 2) for i in (100, 101, 102, 103)} | {(4, 200), (4, 201)}
+    assert {tuple(r) for r in L.leaks(d, items).collect()} == want
