@@ -61,3 +61,29 @@ def test_repeated_and_nearly_equal_items(spark):
     items = spark.createDataFrame([(100, ITEM), (100, ITEM), (101, ITEM), (102, near), (103, ITEM.upper()), (200, CJK), (201, CJK)], "item_id long, text string")
     want = {(k, i) for k in (1, 2) for i in (100, 101, 102, 103)} | {(4, 200), (4, 201)}
     assert {tuple(r) for r in L.leaks(d, items).collect()} == want
+
+
+def test_rows_do_not_depend_on_passes(spark, monkeypatch):
+    words, like = ITEM.split(), LIKE.split()
+    half = " ".join(words[:19])
+    texts = {100: ITEM, 101: ITEM + " More.", 102: half + " " + " ".join(w[::-1] for w in like[19:]), 103: LIKE, 200: CJK, 201: CJK[:40] + "又及", 300: ITEM.lower()}
+    d = spark.createDataFrame([(1, "X " + ITEM), (2, "Y " + half + " z."), (3, LIKE), (4, CJK), (5, " ".join(words[24:]))], "doc_id long, text string")
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    whole = {tuple(r) for r in L.leak_stretches(d, items).collect()}
+    found = {r[:2] for r in whole if r[2] >= 0.3 * r[3]}
+    assert {(1, 100), (1, 101), (1, 300), (2, 100), (2, 102), (4, 200), (4, 201)} <= found
+    monkeypatch.setattr(L, "PASS_BYTES", 150)
+    assert {tuple(r) for r in L.leak_stretches(d, items).collect()} == whole
+
+
+def test_index_grows_in_proportion():
+    import time
+
+    rng = random.Random(1)
+    took = []
+    for n in (2_000, 20_000):
+        rows = [(k, "".join(rng.choice("abdfghjkmnpqrtuvwxyz") for _ in range(120))) for k in range(n)]
+        began = time.time()
+        L.Index.build(rows)
+        took.append(time.time() - began)
+    assert took[1] < 30 * took[0] + 2
