@@ -96,13 +96,26 @@ def _clean(value: str) -> str:
 
 
 def shape_mask(text: str) -> str:
-    """The character-class shape of a cleaned value: digits by count, words by class, the rest as it is."""
+    """The character-class shape of a cleaned value: digits by count, words by class, the rest as it is.
+
+    Words are parted as finely as the parsers tell them apart (months,
+    weekdays, zones, other words in plain letters or not), so that one parser
+    reads either all values of a mask or none.
+    """
     out = []
     for t in _WORD.findall(text):
         if t[0].isdecimal():
             out.append("9" * len(t) if len(t) < 17 else "9+")
         elif t[0].isalpha():
-            out.append("B" if _month(t) else "Z" if t in ZONE_MINUTES and t != "z" else t if len(t) < 3 else "W")
+            plain = "" if t.isascii() else "U"
+            if _month(t):
+                out.append(f"B{plain}")
+            elif t in ("utc", "gmt") or len(t) < 3:
+                out.append(t)
+            elif t in ZONE_MINUTES:
+                out.append("Z")
+            else:
+                out.append(f"D{plain}" if t.startswith(WEEKDAYS) else f"W{plain}")
         else:
             out.append(t)
     return "".join(out)
@@ -247,8 +260,9 @@ def _block(name: str, rx: re.Pattern, values: list[str], locales: list, zones: l
 def normal_forms(values: pd.Series, locales: pd.Series, zones: pd.Series) -> pd.Series:
     """Normal form of each value, null where it states no date.
 
-    Nulls, blanks, impossible dates, words and texts beyond 64 characters give
-    null; a null locale reads the day first, a null or unknown zone is UTC.
+    Nulls, blanks, impossible dates, words and other texts, of any length, give
+    null; a null locale reads the day first, a null or unknown zone is UTC. The
+    order of the values doesn't matter.
     """
     keys = pd.DataFrame({"v": values, "l": locales, "z": zones}).astype(object)
     keys = keys.where(keys.notna(), None)
@@ -256,9 +270,9 @@ def normal_forms(values: pd.Series, locales: pd.Series, zones: pd.Series) -> pd.
     by_mask: dict[str, list[int]] = {}
     cleaned = []
     for i, v in enumerate(uniq["v"]):
-        c = _clean(v) if v is not None and len(v) <= 256 else ""
+        c = _clean(v) if v is not None else ""
         cleaned.append(c)
-        if c and len(c) <= 64 and any(ch.isdecimal() for ch in c):
+        if any(ch.isdecimal() for ch in c):
             by_mask.setdefault(shape_mask(c), []).append(i)
     res: list[str | None] = [None] * len(uniq)
     loc, zon = uniq["l"].tolist(), uniq["z"].tolist()
@@ -278,11 +292,14 @@ _BOUND: dict[str, tuple[str, re.Pattern] | None] = {}
 
 def _bound(mask: str, sample: str) -> tuple[str, re.Pattern] | None:
     """The parser of a mask; values of one mask have the same tokens by class, so any of them decides it."""
-    if mask not in _BOUND:
+    if mask in _BOUND:
+        return _BOUND[mask]
+    parser = next(((name, rx) for name, rx in FORMATS if rx.fullmatch(sample)), None)
+    if len(mask) <= 200:  # masks of long texts aren't kept
         if len(_BOUND) > 100_000:
             _BOUND.clear()
-        _BOUND[mask] = next(((name, rx) for name, rx in FORMATS if rx.fullmatch(sample)), None)
-    return _BOUND[mask]
+        _BOUND[mask] = parser
+    return parser
 
 
 def normal_form(value: Column, locale: Column, zone: Column) -> Column:

@@ -44,5 +44,20 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     assert T.normalise_dates(rows.where(F.lit(False)), contact, "experience", "row_id", ["start_date"]).count() == 0
 
 
-def test_very_long_values_are_no_dates():
-    assert T.normal_forms(pd.Series(["1" * 100_000, "x" * 100_000]), pd.Series([None, None]), pd.Series([None, None])).isna().all()
+def test_very_long_values():
+    values = ["1" * 100_000, "x" * 100_000, "May " * 40_000 + "2017", "2017" + " " * 100_000, "\t" * 300 + "4th  December" + " " * 500 + "2004"]
+    none = pd.Series([None] * len(values))
+    assert T.normal_forms(pd.Series(values), none, none).tolist() == [None, None, None, "2017", "2004-12-04"]
+
+
+def test_order_of_values_does_not_matter():
+    values = [v for v, *_ in CASES if v] + ["Started 12 May 2020", "Monday 12 May 2020", "Tue 12 Mai 2020", "été 12 May 2020", "2017-01-01 10:00 utc+2", "2017-01-01 10:00 est+2", "2017-01-01 10:00 señor"]
+    none = pd.Series([None] * len(values))
+    forms = None
+    for k in range(len(values)):
+        T._BOUND.clear()
+        turned = values[k:] + values[:k]
+        got = dict(zip(turned, T.normal_forms(pd.Series(turned), none, none), strict=True))
+        forms = forms or got
+        assert got == forms
+    assert forms["Monday 12 May 2020"] == "2020-05-12" and forms["Started 12 May 2020"] is None
