@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from quern.llm.bktree import levenshtein
 from quern.llm.components import components
+from quern.session import durable
 
 # Legal forms, without dots and spaces.
 LEGAL = ("inc", "incorporated", "corp", "corporation", "llc", "ltd", "limited", "gmbh", "sa", "bv", "kg", "cokg", "co", "company", "ag", "se", "plc", "llp", "lp", "sarl", "srl", "spa", "nv", "ab", "as", "oy", "pty", "pte", "kgaa", "ug", "ev")
@@ -103,7 +104,10 @@ _KIND_OF: dict[tuple[int, str], str | None] = {}
 
 
 def parse_name(name: str, kinds: dict[str, tuple[str, ...]]) -> tuple[list[str], str, bool]:
-    """(proper words, kind or '', whether a proper word is marked as cut by a dot)."""
+    """(proper words, kind or '', whether the name ends in a place of its organisation).
+
+    A name without a proper word is its own words.
+    """
     text = " ".join(_plain(name).split())
     text = re.sub(r"\s*\[[^\]]*\]\s*$", "", text)
     found: set[str] = set()
@@ -141,7 +145,7 @@ def parse_name(name: str, kinds: dict[str, tuple[str, ...]]) -> tuple[list[str],
     placed = bool(words) and words[-1].lower().strip(".") in PLACING
     if placed:
         words = words[:-1]
-    proper: list[tuple[str, bool]] = []
+    proper: list[str] = []
     last_kind = -1
     flags = []
     for i, w in enumerate(words):
@@ -156,16 +160,15 @@ def parse_name(name: str, kinds: dict[str, tuple[str, ...]]) -> tuple[list[str],
             last_kind = i
         else:
             flags.append("proper")
-    if placed and "proper" in flags[: max(last_kind, 0)]:
+    ended = "proper" in flags[: max(last_kind, 0)]
+    if placed and ended:
         words, flags = words[: last_kind + 1], flags[: last_kind + 1]
     for w, flag in zip(words, flags, strict=True):
         if flag == "proper":
             parts = re.findall(r"[A-Z][^\WA-Z_]+\.?|[^\W_]+\.?", w) if re.fullmatch(r"(?:[A-Z][^\WA-Z_]{2,}){2,}\.?", w) else [w]
-            proper += [(p.lower().strip(".-'"), p.endswith(".")) for p in parts]
-    if placed and len(proper) > 2:
-        proper = proper[:2]
-    proper = [p for p in proper if p[0]]
-    return [p for p, _ in proper], " ".join(sorted(found)), any(c for _, c in proper)
+            proper += [p.lower().strip(".-'") for p in parts]
+    own = [p for p in proper if p] or [w for w in re.findall(r"[^\W_]+", _plain(name).lower()) if w]
+    return own, " ".join(sorted(found)), placed and not ended and len(own) > 2
 
 
 def _token_similarity(a: str, b: str) -> float:
@@ -207,7 +210,7 @@ def soft_similarity(a: list[str], wa: list[float], b: list[str], wb: list[float]
     if not a or not b:
         return 0.0
     if len(a) == 1 and len(b) == 1:
-        if a[0] != b[0] and min(len(a[0]), len(b[0])) < 8 <= max(len(a[0]), len(b[0])) + 100:
+        if a[0] != b[0] and min(len(a[0]), len(b[0])) < 8:
             d = levenshtein(a[0], b[0])
             return 0.9 if d <= 1 and min(len(a[0]), len(b[0])) >= 7 else 0.0
         return 1.0 if a[0] == b[0] else 0.9 if levenshtein(a[0], b[0]) <= 1 or _swap(a[0], b[0]) else 0.0
@@ -248,14 +251,27 @@ def _grams(tokens: list[str]) -> list[str]:
 
 
 def parsed_names(names: DataFrame) -> DataFrame:
-    """(field, name, proper, kind) of (field, name); names without a proper word are left out."""
+    """(field, name, proper, kind) of (field, name).
 
-    @F.pandas_udf("proper array<string>, kind string")
+    Of a name that ends in a place without saying where its proper words end
+    (`Alpha Beta New York office`) the longest beginning that is a whole name
+    elsewhere counts; if none is, all but the last word, which belongs to the
+    place.
+    """
+
+    @F.pandas_udf("proper array<string>, kind string, placed boolean")
     def parse(field: pd.Series, name: pd.Series) -> pd.DataFrame:
         got = [parse_name(n, SCHOOLS if f == "institution" else LINES) for f, n in zip(field, name, strict=True)]
-        return pd.DataFrame({"proper": [g[0] for g in got], "kind": [g[1] for g in got]})
+        return pd.DataFrame({"proper": [g[0] for g in got], "kind": [g[1] for g in got], "placed": [g[2] for g in got]})
 
-    return names.select("field", "name", parse("field", "name").alias("p")).select("field", "name", "p.proper", "p.kind").where(F.size("proper") > 0)
+    parsed = durable(names.select("field", "name", parse("field", "name").alias("p")).select("field", "name", "p.*").where(F.size("proper") > 0))
+    plain, placed = parsed.where(~F.col("placed")), parsed.where("placed")
+    whole = plain.select("field", F.concat_ws(" ", "proper").alias("words")).distinct()
+    heads = placed.select("field", "name", F.explode(F.sequence(F.lit(2), F.size("proper"))).alias("n"), "proper")
+    heads = heads.select("field", "name", "n", F.concat_ws(" ", F.slice("proper", 1, F.col("n"))).alias("words"))
+    known = heads.join(whole, ["field", "words"]).groupBy("field", "name").agg(F.max("n").alias("n"))
+    cut = placed.join(known, ["field", "name"], "left").withColumn("proper", F.slice("proper", F.lit(1), F.coalesce("n", F.size("proper") - 1)))
+    return plain.select("field", "name", "proper", "kind").unionByName(cut.select("field", "name", "proper", "kind"))
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
@@ -316,8 +332,6 @@ def link_names(names: DataFrame) -> DataFrame:
     of connected proper names of which not both state different lines.
     """
     distinct = names.select("field", "name").where(~F.col("name").rlike(r"^[\s\p{Z}]*$")).distinct()
-    from quern.session import durable
-
     parsed = durable(parsed_names(distinct).withColumn("key", F.concat_ws(":", "field", F.concat_ws(" ", "proper"))))
     keys = parsed.groupBy("field", "key").agg(F.first("proper").alias("proper"))
     comp = components(linked_keys(keys), "key_a", "key_b")

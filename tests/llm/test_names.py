@@ -21,6 +21,14 @@ def test_schools_differ_by_kind():
     assert N.parse_name("University of Bero. Psubokol, Eastmere", N.SCHOOLS)[:2] == (["bero", "psubokol"], "university")
 
 
+def test_places_after_proper_words(spark):
+    names = ["Alpha Beta Gamma Berlin office", "Alpha Beta Delta Berlin office", "Motonal Keruvin", "Motonal Keruvin New Harbour office", "Motonal Keruvin Sulibar Oslo office", "Motonal Keruvin Sulibar", "Global Technology Group"]
+    parsed = {r.name: list(r.proper) for r in N.parsed_names(spark.createDataFrame([("company", n) for n in names], "field string, name string")).collect()}
+    assert parsed[names[0]] == ["alpha", "beta", "gamma"] and parsed[names[1]] == ["alpha", "beta", "delta"]
+    assert parsed[names[3]] == ["motonal", "keruvin"] and parsed[names[4]] == ["motonal", "keruvin", "sulibar"]
+    assert parsed[names[6]]
+
+
 def test_prefix_filter_loses_no_pair(spark):
     import random
 
