@@ -19,12 +19,6 @@ def _first_word(c: Column) -> Column:
     return ascii_lower(F.regexp_extract(c, r"^[ \t\n\r]*([^ \t\n\r]+)", 1))
 
 
-def _verb_share(bullets: Column, verbs: list[str], empty_counts: bool) -> Column:
-    filled = bullets if empty_counts else F.filter(bullets, lambda b: b != "")
-    hits = F.filter(filled, lambda b: _first_word(b).isin(*verbs))
-    return F.when(F.size(filled) > 0, F.size(hits) / F.size(filled)).otherwise(0.0)
-
-
 def _bullets(c: str) -> Column:
     return F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda b: b.isNotNull())
 
@@ -33,8 +27,8 @@ def query_seniority(text: Column) -> Column:
     return ladder(text, L.QUERY_SENIORITY, L.QUERY_DEFAULT)
 
 
-def experience_features(jobs: DataFrame, query_text: str = "", as_of: int = 2026 * 12 + 7) -> DataFrame:
-    """The fifteen experience features and two flags of (id, pos, job_title, company, start_date, end_date, is_current, bullets)."""
+def experience_rows(jobs: DataFrame, as_of: int = 2026 * 12 + 7) -> DataFrame:
+    """(id, x_..): sums over the jobs (id, pos, job_title, company, start_date, end_date, is_current, bullets) of a document."""
     months = tenure_months(F.col("start_date"), F.col("end_date"), as_of)
     w = Window.partitionBy("id").orderBy("pos")
     low_company = F.lower(F.coalesce("company", F.lit("")))
@@ -52,22 +46,29 @@ def experience_features(jobs: DataFrame, query_text: str = "", as_of: int = 2026
         F.min_by("sen", "pos").alias("first_sen"), F.max_by("sen", "pos").alias("last_sen"),
         F.count_if((F.col("m") > 0) & (F.col("m") < 12)).alias("short"),
     )
-    wanted = query_seniority(F.lit(query_text))
-    gap = F.greatest(F.lit(0), F.col("since") - F.col("total"))
-    c = F.col
-    return agg.select(
-        "id", cap(c("total"), 240).alias("total_experience_months"),
-        unit(c("total") * (1 - F.abs(c("max_sen") - wanted)) / 240).alias("relevant_experience_months"),
-        cap(c("n"), 10).alias("num_positions"), cap(c("avg_m"), 60).alias("avg_tenure_months"), cap(c("max_m"), 120).alias("max_tenure_months"),
-        (1 - cap(gap, 24)).alias("employment_gap_months"),
-        (1 - cap(F.when(gap > 0, F.greatest(F.lit(1), F.floor(gap / 12))).otherwise(0), 5)).alias("num_gaps"),
-        c("cur").cast("double").alias("is_currently_employed"), c("max_sen").alias("max_seniority_score"), c("avg_sen").alias("avg_seniority_score"),
-        c("led").cast("double").alias("has_leadership_keywords"), cap(c("ups"), 3).alias("num_promotions"), cap(c("quant"), 10).alias("quantified_achievement_count"),
-        F.when(c("bul") > 0, c("verb") / c("bul")).otherwise(0.0).alias("action_verb_density"),
-        F.when(c("n") < 2, 0.5).otherwise(unit(0.5 + c("last_sen") - c("first_sen"))).alias("career_progression_score"),
-        (c("short") >= 3).cast("double").alias("job_hopper_flag"),
-        ((c("max_sen") > wanted + 0.3) & (c("total") > 120)).cast("double").alias("overqualified_flag"),
-    )
+    return agg.select("id", *[F.col(c).alias(f"x_{c}") for c in agg.columns if c != "id"])
+
+
+def experience_columns(wanted: Column) -> dict[str, Column]:
+    """The fifteen experience features and two flags from `experience_rows`; wanted: seniority that the query asks for."""
+    c = lambda n: F.col(f"x_{n}")
+    gap = F.greatest(F.lit(0), c("since") - c("total"))
+    return {
+        "total_experience_months": cap(c("total"), 240), "relevant_experience_months": unit(c("total") * (1 - F.abs(c("max_sen") - wanted)) / 240),
+        "num_positions": cap(c("n"), 10), "avg_tenure_months": cap(c("avg_m"), 60), "max_tenure_months": cap(c("max_m"), 120),
+        "employment_gap_months": 1 - cap(gap, 24), "num_gaps": 1 - cap(F.when(gap > 0, F.greatest(F.lit(1), F.floor(gap / 12))).otherwise(0), 5),
+        "is_currently_employed": c("cur").cast("double"), "max_seniority_score": c("max_sen"), "avg_seniority_score": c("avg_sen"),
+        "has_leadership_keywords": c("led").cast("double"), "num_promotions": cap(c("ups"), 3), "quantified_achievement_count": cap(c("quant"), 10),
+        "action_verb_density": F.when(c("bul") > 0, c("verb") / c("bul")).otherwise(0.0),
+        "career_progression_score": F.when(c("n") < 2, 0.5).otherwise(unit(0.5 + c("last_sen") - c("first_sen"))),
+        "job_hopper_flag": (c("short") >= 3).cast("double"), "overqualified_flag": ((c("max_sen") > wanted + 0.3) & (c("total") > 120)).cast("double"),
+    }
+
+
+def experience_features(jobs: DataFrame, query_text: str = "", as_of: int = 2026 * 12 + 7) -> DataFrame:
+    """The fifteen experience features and two flags of each document against one query text."""
+    named = experience_columns(query_seniority(F.lit(query_text)))
+    return experience_rows(jobs, as_of).select("id", *[v.alias(k) for k, v in named.items()])
 
 
 def tenure_index(c: Column, as_of: int) -> Column:
@@ -84,89 +85,145 @@ def gpa_share(c: Column) -> Column:
     return F.when(val.isNotNull() & (scale != 0), F.least(F.lit(1.0), val / scale))
 
 
-def education_features(schools: DataFrame, query_text: str = "", year: int = 2026) -> DataFrame:
-    """The ten education features of (id, institution, degree, field_of_study, end_date, gpa)."""
-    query = query_text.lower()
+def education_rows(schools: DataFrame, year: int = 2026) -> DataFrame:
+    """(id, e_..): sums over the schools (id, institution, degree, field_of_study, end_date, gpa) of a document."""
     fields = ascii_lower(F.coalesce("field_of_study", F.lit("")))
-    match = F.greatest(F.lit(0.0), *[F.when(fields.contains(k), F.lit(v if k in query else v * 0.5)).otherwise(0.0) for k, v in L.FIELDS.items()])
+    known = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("weight")) for k, v in L.FIELDS.items()])
     inst, end = ascii_lower(F.coalesce("institution", F.lit(""))), F.coalesce("end_date", F.lit(""))
     found = F.regexp_extract(end, r"(?:^|[^A-Za-z0-9_])((?:19|20)[0-9]{2})(?:$|[^A-Za-z0-9_])", 1)
     seen = F.coalesce(F.try_to_number(F.nullif(found, F.lit("")), F.lit("9999")).cast("int"), F.lit(2015))
     recent = F.when(F.lower(end).isin("", "present"), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0), year - seen) / 20.0))
-    needed = any(k in query for k in ("degree required", "bachelor", "b.s."))
-    rows = schools.withColumn("lvl", ladder(F.col("degree"), L.DEGREES, 0.0))
+    rows = schools.withColumn("lvl", ladder(F.col("degree"), L.DEGREES, 0.0)).withColumn("fl", fields)
     agg = rows.groupBy("id").agg(
-        F.count("*").alias("n"), F.max("lvl").alias("lvl"), F.max(match).alias("fm"), F.max(gpa_share(F.col("gpa"))).alias("gpa"), F.max(recent).alias("rec"),
+        F.count("*").alias("n"), F.max("lvl").alias("lvl"), F.max(gpa_share(F.col("gpa"))).alias("gpa"), F.max(recent).alias("rec"),
         F.bool_or(F.lower(end).isin("present", "current")).alias("cur"), F.bool_or(contains_any(inst, L.PRESTIGE)).alias("top"),
-        F.count_distinct(F.when(inst != "", inst)).alias("insts"),
-    )
-    met = F.when(F.lit(not needed), 0.5).when(F.col("lvl") >= 0.6, 1.0).otherwise(0.0)
-    return agg.select(
-        "id", cap(F.col("n"), 3).alias("num_degrees"), F.col("lvl").alias("highest_degree_level"), F.col("fm").alias("degree_field_match"),
-        F.coalesce("gpa", F.lit(0.0)).alias("gpa_normalized"), F.col("gpa").isNotNull().cast("double").alias("has_gpa"), F.col("cur").cast("double").alias("is_currently_studying"),
-        F.col("rec").alias("education_recency_score"), F.col("top").cast("double").alias("prestigious_institution_flag"), cap(F.col("insts"), 3).alias("num_institutions"),
-        met.alias("degree_requirement_met"),
+        F.count_distinct(F.when(inst != "", inst)).alias("insts"), F.array_distinct(F.flatten(F.collect_set(F.filter(known, lambda f: F.contains("fl", f["name"]))))).alias("fields"),
     )
+    return agg.select("id", *[F.col(c).alias(f"e_{c}") for c in agg.columns if c != "id"])
 
 
-def project_features(projects: DataFrame, required: list[str]) -> DataFrame:
-    """The eight project features of (id, name, description, technologies, url); required: skills of the query."""
-    need = [s.lower() for s in required]
-    tech = F.transform(F.coalesce("technologies", F.array().cast("array<string>")), F.lower)
+def education_columns(query: Column) -> dict[str, Column]:
+    """The ten education features from `education_rows`; query: the lower-case text of the query."""
+    c = lambda n: F.col(f"e_{n}")
+    match = F.aggregate(c("fields"), F.lit(0.0), lambda s, f: F.greatest(s, F.when(F.contains(query, f["name"]), f["weight"]).otherwise(f["weight"] * 0.5)))
+    met = F.when(~contains_any(query, ["degree required", "bachelor", "b.s."]), 0.5).when(c("lvl") >= 0.6, 1.0).otherwise(0.0)
+    return {
+        "num_degrees": cap(c("n"), 3), "highest_degree_level": c("lvl"), "degree_field_match": match, "gpa_normalized": F.coalesce(c("gpa"), F.lit(0.0)),
+        "has_gpa": c("gpa").isNotNull().cast("double"), "is_currently_studying": c("cur").cast("double"), "education_recency_score": c("rec"),
+        "prestigious_institution_flag": c("top").cast("double"), "num_institutions": cap(c("insts"), 3), "degree_requirement_met": F.when(c("n") > 0, met),
+    }
+
+
+def education_features(schools: DataFrame, query_text: str = "", year: int = 2026) -> DataFrame:
+    """The ten education features of each document against one query text."""
+    named = education_columns(F.lit(query_text.lower()))
+    return education_rows(schools, year).select("id", *[v.alias(k) for k, v in named.items()])
+
+
+def project_rows(projects: DataFrame) -> DataFrame:
+    """(id, p_..): sums over the projects (id, name, description, technologies, url) of a document."""
+    tech = F.transform(F.coalesce("technologies", F.array().cast("array<string>")), ascii_lower)
     text = ascii_lower(F.concat_ws(" ", "description", "name"))
-    named = sum((text.contains(s).cast("int") for s in need), F.lit(0))
     link = F.coalesce(F.col("url"), F.lit(""))
     desc = F.nullif(F.coalesce(F.col("description"), F.lit("")), F.lit(""))
+    counted = F.regexp_count(F.coalesce(F.col("description"), F.lit("")), F.lit(L.QUANTITY_GLOBAL))
     agg = projects.groupBy("id").agg(
-        F.count("*").alias("n"), F.avg(F.size(tech)).alias("tech"), F.avg((link != "").cast("double")).alias("links"),
-        F.array_distinct(F.flatten(F.collect_list(tech))).alias("all"), F.sum(named).alias("named"), F.bool_or(F.lower(link).contains("github")).alias("oss"),
+        F.count("*").alias("n"), F.avg(F.size(tech)).alias("tech"), F.avg((link != "").cast("double")).alias("links"), F.sum(counted).alias("figures"),
+        F.array_distinct(F.flatten(F.collect_list(tech))).alias("all"), F.collect_list(text).alias("texts"), F.bool_or(F.lower(link).contains("github")).alias("oss"),
         F.avg(F.octet_length(F.encode(desc, "utf-8"))).alias("len"), F.avg(F.coalesce(desc.rlike(L.QUANTITY), F.lit(False)).cast("double")).alias("quant"),
     )
-    overlap = F.size(F.array_intersect("all", F.array(*[F.lit(s) for s in need]).cast("array<string>"))) / max(1, len(need)) if need else F.lit(0.5)
-    return agg.select(
-        "id", cap(F.col("n"), 10).alias("num_projects"), cap(F.col("tech"), 8).alias("avg_technologies_per_project"), F.col("links").alias("project_link_ratio"),
-        overlap.alias("project_tech_overlap"), F.least(F.lit(1.0), F.col("named") / max(1, len(need))).alias("project_domain_relevance"),
-        F.col("oss").cast("double").alias("has_open_source"), F.coalesce(cap(F.col("len"), 300), F.lit(0.0)).alias("avg_project_desc_length"), F.col("quant").alias("project_quantification_score"),
-    )
+    return agg.select("id", *[F.col(c).alias(f"p_{c}") for c in agg.columns if c != "id"])
 
 
-def certificate_features(certs: DataFrame, query_text: str = "", year: int = 2026) -> DataFrame:
-    """The seven certificate features of (id, name, issuer, issue_date)."""
+def project_columns(need: Column) -> dict[str, Column]:
+    """The eight project features from `project_rows`; need: the lower-case skills that the query asks for."""
+    c = lambda n: F.col(f"p_{n}")
+    named = F.aggregate(c("texts"), F.lit(0), lambda s, t: s + F.size(F.filter(need, lambda x: F.contains(t, x))))
+    overlap = F.when(F.size(need) > 0, F.size(F.array_intersect(c("all"), need)) / F.size(need)).otherwise(0.5)
+    return {
+        "num_projects": cap(c("n"), 10), "avg_technologies_per_project": cap(c("tech"), 8), "project_link_ratio": c("links"), "project_tech_overlap": F.when(c("n") > 0, overlap),
+        "project_domain_relevance": F.least(F.lit(1.0), named / F.greatest(F.lit(1), F.size(need))), "has_open_source": c("oss").cast("double"),
+        "avg_project_desc_length": F.coalesce(cap(c("len"), 300), F.lit(0.0)), "project_quantification_score": c("quant"),
+    }
+
+
+def project_features(projects: DataFrame, required: list[str]) -> DataFrame:
+    """The eight project features of each document; required: skills of one query."""
+    need = F.array(*[F.lit(s.lower()) for s in required]).cast("array<string>")
+    return project_rows(projects).select("id", *[v.alias(k) for k, v in project_columns(need).items()])
+
+
+def certificate_rows(certs: DataFrame, year: int = 2026) -> DataFrame:
+    """(id, c_..): sums over the certificates (id, name, issuer, issue_date) of a document."""
     name = ascii_lower(F.coalesce("name", F.lit("")))
     words = F.filter(F.split(name, "[ \t]+"), lambda w: F.octet_length(F.encode(w, "utf-8")) > 3)
-    asked = F.exists(words, lambda w: F.contains(F.lit(query_text.lower()), w))
     found = F.regexp_extract(F.coalesce("issue_date", F.lit("")), r"(20[0-9]{2})", 1)
-    recent = F.when(found == "", 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0), year - found.cast("int")) / 10.0))
+    recent = F.when(found == "", 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0), year - F.try_to_number(F.nullif(found, F.lit("")), F.lit("9999")).cast("int")) / 10.0))
     agg = certs.groupBy("id").agg(
-        F.count("*").alias("n"), F.count_distinct(F.nullif(F.lower(F.col("issuer")), F.lit(""))).alias("iss"), F.bool_or(asked).alias("jd"), F.max(recent).alias("rec"),
+        F.count("*").alias("n"), F.count_distinct(F.nullif(F.lower(F.col("issuer")), F.lit(""))).alias("iss"), F.array_distinct(F.flatten(F.collect_set(words))).alias("words"), F.max(recent).alias("rec"),
         F.bool_or(contains_any(name, ["aws", "azure", "gcp", "google cloud", "cloud"])).alias("cloud"), F.bool_or(contains_any(name, ["security", "cissp", "ceh", "oscp"])).alias("sec"),
     )
-    return agg.select(
-        "id", cap(F.col("n"), 8).alias("num_certifications"), cap(F.col("iss"), 5).alias("num_unique_issuers"), F.lit(1.0).alias("has_certifications"),
-        F.col("jd").cast("double").alias("jd_cert_match"), F.col("rec").alias("cert_recency_score"), F.col("cloud").cast("double").alias("has_cloud_cert"), F.col("sec").cast("double").alias("has_security_cert"),
-    )
+    return agg.select("id", *[F.col(c).alias(f"c_{c}") for c in agg.columns if c != "id"])
 
 
-def quality_features(docs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Text and bullet quality of documents: (id, text) with all jobs of (id, bullets, start_date)."""
+def certificate_columns(query: Column) -> dict[str, Column]:
+    """The seven certificate features from `certificate_rows`; query: the lower-case text of the query."""
+    c = lambda n: F.col(f"c_{n}")
+    return {
+        "num_certifications": cap(c("n"), 8), "num_unique_issuers": cap(c("iss"), 5), "has_certifications": F.when(c("n") > 0, 1.0),
+        "jd_cert_match": F.exists(c("words"), lambda w: F.contains(query, w)).cast("double"), "cert_recency_score": c("rec"), "has_cloud_cert": c("cloud").cast("double"), "has_security_cert": c("sec").cast("double"),
+    }
+
+
+def certificate_features(certs: DataFrame, query_text: str = "", year: int = 2026) -> DataFrame:
+    """The seven certificate features of each document against one query text."""
+    return certificate_rows(certs, year).select("id", *[v.alias(k) for k, v in certificate_columns(F.lit(query_text.lower())).items()])
+
+
+def bullet_rows(jobs: DataFrame) -> DataFrame:
+    """(id, b_..): sums over the bullets of all jobs (id, bullets, start_date) of a document."""
     b = jobs.select("id", "start_date", _bullets("bullets").alias("b"))
     verbs = F.filter("b", lambda x: _first_word(x).isin(*L.ACTION_VERBS_GLOBAL))
     figures = F.aggregate("b", F.lit(0), lambda s, x: s + F.regexp_count(x, F.lit(L.QUANTITY_GLOBAL)))
     size = F.aggregate("b", F.lit(0), lambda s, x: s + F.octet_length(F.encode(x, "utf-8")))
-    per = b.groupBy("id").agg(
-        F.count("*").alias("jobs"), F.sum(F.size("b")).alias("nb"), F.sum(F.size(verbs)).alias("nv"), F.sum(figures).alias("fig"), F.sum(size).alias("chars"),
-        F.avg((F.coalesce("start_date", F.lit("")) != "").cast("double")).alias("dated"),
-    )
-    rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(per, "id", "left").fillna(0, ["jobs", "nb", "nv", "fig", "chars"])
-    words = word_count(F.col("text"))
-    share = lambda a: F.when(F.col("nb") > 0, F.col(a) / F.col("nb")).otherwise(0.0)
-    return rows.select(
-        "id", share("nv").alias("action_verb_density_global"), cap(F.col("fig"), 20).alias("quantified_achievements_total"), F.least(F.lit(1.0), share("chars") / 150).alias("avg_bullet_length"),
-        cap(words, 2000).alias("total_word_count"), length_band(words).alias("resume_length_score"), F.coalesce("dated", F.lit(0.5)).alias("formatting_consistency"),
-        readability(F.col("text"), F.col("jobs")).alias("readability_score"),
+    return b.groupBy("id").agg(
+        F.count("*").alias("b_jobs"), F.sum(F.size("b")).alias("b_n"), F.sum(F.size(verbs)).alias("b_verbs"), F.sum(figures).alias("b_figures"), F.sum(size).alias("b_size"),
+        F.avg((F.coalesce("start_date", F.lit("")) != "").cast("double")).alias("b_dated"),
     )
 
 
+def _text_quality(more_figures: Column) -> dict[str, Column]:
+    """Quality features of a text and the bullets of its jobs."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    text = F.coalesce("text", F.lit(""))
+    words = word_count(text)
+    share = lambda a: F.when(n("b_n") > 0, F.col(a) / F.col("b_n")).otherwise(0.0)
+    return {
+        "action_verb_density_global": share("b_verbs"), "quantified_achievements_total": cap(n("b_figures") + more_figures, 20), "avg_bullet_length": F.least(F.lit(1.0), share("b_size") / 150),
+        "total_word_count": cap(words, 2000), "resume_length_score": length_band(words), "formatting_consistency": F.coalesce("b_dated", F.lit(0.5)), "readability_score": readability(text, n("b_jobs")),
+    }
+
+
+def quality_columns() -> dict[str, Column]:
+    """The ten quality features and two flags of a document's row: text, contact, counts of its entries."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    parts = [yes("has_full_name"), yes("has_email"), yes("summarised"), some("x_n"), some("e_n"), some("listed"), some("p_n"), some("c_n")]
+    words = word_count(F.coalesce("text", F.lit("")))
+    filled = sum((x.cast("int") for x in parts), F.lit(0))
+    return {
+        "section_completeness_score": filled / 8.0, **_text_quality(F.coalesce("p_figures", F.lit(0))), "has_summary": yes("summarised").cast("double"),
+        "has_links": (yes("has_linkedin") | yes("has_github")).cast("double"), "has_contact_info": (yes("has_email") | yes("has_phone")).cast("double"),
+        "keyword_stuffing_penalty": (F.coalesce("listed", F.lit(0)) / F.greatest(F.lit(1), words) > 0.25).cast("double"),
+    }
+
+
+def quality_features(docs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Text and bullet quality of documents: (id, text) with all jobs of (id, bullets, start_date)."""
+    rows = docs.select("id", "text").join(bullet_rows(jobs), "id", "left")
+    return rows.select("id", *[v.alias(k) for k, v in _text_quality(F.lit(0)).items()])
+
+
 def complete(ids: DataFrame, *parts: DataFrame) -> DataFrame:
     """One row per id with the features of all parts, 0 where a part has none."""
     out = ids.select("id").distinct()

@@ -10,25 +10,39 @@ from pyspark.sql.window import Window
 
 from quern import lexicon as L
 from quern.functions.text import half_up
+from quern.operators.pairs import FEATURES
 
 
-def _weighted(df: DataFrame, weights: dict[str, float]) -> Column:
-    terms = [F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in weights.items() if k in df.columns]
-    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+CATEGORIES = list(L.CATEGORY_WEIGHTS)
 
 
-def category_scores(features: DataFrame) -> DataFrame:
-    """Adds the six category scores in 0..100 (C1-C7); a missing feature counts 0."""
-    out = features
-    for name, weights in L.CATEGORY_WEIGHTS.items():
-        out = out.withColumn(f"{name}_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * _weighted(features, weights))))
-    return out
+def _weighted(weights: dict[str, float]) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in weights.items()])
+
+
+def category_scores(features: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Adds category scores in 0..100 (C1-C7), all six or the ones named; every feature of them must be a column."""
+    wanted = {n: L.CATEGORY_WEIGHTS[n] for n in categories or CATEGORIES}
+    absent = sorted({k for weights in wanted.values() for k in weights} - set(features.columns))
+    if absent:
+        raise ValueError(f"missing features: {', '.join(absent)}")
+    return features.withColumns({f"{n}_score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * _weighted(w))) for n, w in wanted.items()})
+
+
+def one_decimal(c: Column) -> Column:
+    """A score to one decimal; the last bits of a sum, which depend on its order, don't count."""
+    return half_up(half_up(c, 6), 1)
+
+
+def unusable() -> Column:
+    """Why a pair can't be scored, '' if it can."""
+    return F.when(F.coalesce("text", F.lit("")) == "", "resume_text is empty").when(F.coalesce("query_text", F.lit("")) == "", "jd_text is empty").otherwise("")
 
 
 def overall_score(scores: DataFrame) -> DataFrame:
     """Adds overall_score to one decimal and the label of the method."""
     total = reduce(lambda a, b: a + b, [F.col(f"{k}_score") * w for k, w in L.OVERALL_WEIGHTS.items()])
-    return scores.withColumn("overall_score", half_up(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)), 1)).withColumn("ranking_method", F.lit("linear_fallback"))
+    return scores.withColumn("overall_score", one_decimal(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)))).withColumn("ranking_method", F.lit("linear_fallback"))
 
 
 def ranked(scores: DataFrame, query: str, doc: str, score: str = "overall_score") -> DataFrame:
@@ -46,10 +60,9 @@ def months_text(share: Column, limit: int = 240) -> Column:
 
 def factors(features: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., feature, side, weight, text): rules whose thresholds a feature passes."""
-    present = [r for r in L.EXPLANATIONS if r[0] in features.columns]
     rules = [
         F.struct(F.lit(i).alias("ord"), F.lit(n).alias("feature"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("v"), F.lit(p).alias("pos"), F.lit(q).alias("neg"), F.lit(pt).alias("pt"), F.lit(nt).alias("nt"))
-        for i, (n, p, q, pt, nt) in enumerate(present)
+        for i, (n, p, q, pt, nt) in enumerate(L.EXPLANATIONS)
     ]
     rows = features.select(*keys, F.explode(F.array(*rules)).alias("r")).select(*keys, "r.*")
     side = F.when(F.col("v") >= F.col("pos"), "positive").when(F.col("v") < F.col("neg"), "negative")
@@ -73,6 +86,11 @@ def top_factors(all_factors: DataFrame, keys: list[str], k: int = 5) -> DataFram
     return all_factors.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "side", "rank", "text")
 
 
+def explained(features: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """(keys.., side, rank, text): the weightiest factors of features and of skill lists together."""
+    return top_factors(factors(features, keys).unionByName(skill_factors(features, keys)), keys, k)
+
+
 # Messages of the flags.
 RED_FLAGS = {
     "job_hopper_flag": "Job-Hopping Detected (3+ short tenures)",
@@ -98,8 +116,7 @@ def with_fallbacks(top: DataFrame, scores: DataFrame, keys: list[str]) -> DataFr
 
 def red_flags(features: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., flags): messages of the raised flags."""
-    names = RED_FLAGS
-    tests = [F.when(F.coalesce(F.col(c), F.lit(0.0)) > 0.5, F.lit(t)) for c, t in names.items() if c in features.columns]
+    tests = [F.when(F.coalesce(F.col(c), F.lit(0.0)) > 0.5, F.lit(t)) for c, t in RED_FLAGS.items()]
     return features.select(*keys, F.array_compact(F.array(*tests)).alias("flags"))
 
 
@@ -107,10 +124,30 @@ def score_band(score: Column) -> Column:
     return F.when(score >= 75, "high").when(score >= 50, "medium").otherwise("low")
 
 
-def report_json(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys.., report): the response record as JSON, scores to one decimal."""
-    six = F.struct(*[half_up(F.col(f"{c}_score"), 1).alias(c) for c in L.CATEGORY_WEIGHTS])
-    return scores.select(*keys, F.to_json(F.struct("overall_score", six.alias("scores"), "ranking_method", F.lit(None).cast("string").alias("error"))).alias("report"))
+def reports(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., report): the response record as JSON.
+
+    scores: features, lists of skills and scores of pairs. Scores have one
+    decimal, confidences three, features four. A pair without a text gets the
+    record of an error: scores 0, empty lists and the message.
+    """
+    why = unusable()
+    usable = why == ""
+    top = with_fallbacks(explained(scores.where(usable), keys), scores.where(usable), keys)
+    side = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("rank", "text")))), lambda x: x["text"])
+    told = top.groupBy(*keys).agg(side("positive").alias("top_positive_factors"), side("negative").alias("top_negative_factors"))
+    rows = scores.join(told, keys, "left").withColumn("_why", why)
+    none = F.expr("cast(array() as array<string>)")
+    zero = lambda c: F.when(usable, c).otherwise(F.lit(0.0))
+    texts = lambda c: F.when(usable, F.coalesce(F.col(c), none)).otherwise(none)
+    six = F.struct(*[zero(one_decimal(F.col(f"{c}_score"))).alias("resume_quality" if c == "quality" else c) for c in CATEGORIES])
+    near = F.transform("partial", lambda x: F.struct(x["jd_skill"], x["matched_as"], half_up(x["confidence"], 3).alias("confidence")))
+    vector = F.when(usable, F.struct(*[half_up(F.col(c), 4).alias(c) for c in FEATURES]))
+    record = F.struct(
+        zero(F.col("overall_score")).alias("overall_score"), six.alias("scores"), texts("matched").alias("matched_skills"), texts("missing").alias("missing_skills"), F.when(usable, near).alias("partial_skills"),
+        *[texts(c).alias(c) for c in ("top_positive_factors", "top_negative_factors")], F.when(usable, F.col("ranking_method")).alias("ranking_method"), vector.alias("feature_vector"), F.nullif("_why", F.lit("")).alias("error"),
+    )
+    return rows.select(*keys, F.to_json(record, {"ignoreNullFields": "false"}).alias("report"))
 
 
 # Limits at which the older features are full.

@@ -115,60 +115,88 @@ def domain_distribution(skills: DataFrame) -> DataFrame:
     return n.select("id", "category", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("share"))
 
 
-def gap(pairs: DataFrame, candidate: DataFrame, required: DataFrame, partial: float = 0.5) -> DataFrame:
-    """(id, query_id, skill, status) of every required skill of a pair: matched, partial or missing.
+def self_matches(p: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    """(canonical, alike, alikeness): the entry that the name of each entry is most similar to, mostly itself."""
+    best = fuzzy_best(p.select(F.col("canonical").alias("skill")), "skill", p, threshold)
+    return best.select(F.col("value").alias("canonical"), F.col("canonical").alias("alike"), F.col("similarity").alias("alikeness"))
 
-    pairs: (id, query_id); candidate: (id, canonical, category); required:
-    (query_id, canonical, category). A skill is partial if one of its category
-    is held and `partial` is at most the similarity of that, 0.45 (K15).
+
+def statuses(need: Column, have: Column, partial: float = 0.5) -> Column:
+    """array of (skill, status, matched_as, confidence) of the skills needed: matched, partial or missing.
+
+    need: array of (canonical, category, alike, alikeness); have: array of
+    (rank, canonical, category, ..), the surest first. A skill that isn't held
+    is as near as .45 to the first held one of its category, and as near as
+    `alikeness` to the one that its name is most similar to; it is partial
+    from `partial` on.
+    """
+
+    def status(n: Column) -> Column:
+        held = F.exists(have, lambda h: h["canonical"] == n["canonical"])
+        kin = F.try_element_at(F.filter(have, lambda h: h["category"] == n["category"]), F.lit(1))["canonical"]
+        alike = F.exists(have, lambda h: h["canonical"] == n["alike"]) & (n["alikeness"] > 0.45)
+        best = F.when(alike, n["alikeness"]).when(kin.isNotNull(), F.lit(0.45)).otherwise(F.lit(0.0))
+        state = F.when(held, "matched").when(best >= partial, "partial").otherwise("missing")
+        shown = F.when(~held & (best >= partial), F.when(alike, n["alike"]).otherwise(kin))
+        return F.struct(n["canonical"].alias("skill"), state.alias("status"), shown.alias("matched_as"), F.when(shown.isNotNull(), best).alias("confidence"))
+
+    return F.transform(need, status)
+
+
+def gap(pairs: DataFrame, candidate: DataFrame, required: DataFrame, p: DataFrame, partial: float = 0.5) -> DataFrame:
+    """(id, query_id, status) of each pair, status as of `statuses`.
+
+    pairs: (id, query_id); candidate: (id, canonical, category, confidence,
+    method); required: (query_id, canonical, category); p: patterns. Skills of
+    a document and of a query are gathered before they meet; queries without
+    skills have no row.
     """
-    wanted = pairs.distinct().join(required, "query_id")
-    have = candidate.select("id", "canonical", F.lit(True).alias("held")).distinct()
-    kinds = candidate.select("id", "category", F.lit(True).alias("related")).distinct()
-    found = wanted.join(have, ["id", "canonical"], "left").join(kinds, ["id", "category"], "left")
-    near = F.lit(0.45 >= partial) & F.col("related").isNotNull()
-    status = F.when(F.col("held").isNotNull(), "matched").when(near, "partial").otherwise("missing")
-    return found.select("id", "query_id", F.col("canonical").alias("skill"), status.alias("status"))
+    have = candidate.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "canonical", "category", "confidence", "method"))).alias("have"))
+    named = required.join(self_matches(p), "canonical", "left")
+    need = named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("canonical", "category", "alike", "alikeness"))).alias("need"))
+    rows = pairs.distinct().join(need, "query_id").join(have, "id", "left")
+    none = F.expr("cast(array() as array<struct<rank:double,canonical:string,category:string,confidence:double,method:string>>)")
+    return rows.withColumn("have", F.coalesce("have", none)).select("id", "query_id", statuses(F.col("need"), F.col("have"), partial).alias("status"))
 
 
 def gap_lists(gaps: DataFrame) -> DataFrame:
     """(id, query_id, matched, partial, missing, match_ratio): sorted lists and the share matched."""
-    pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("skill"))))
-    rows = gaps.groupBy("id", "query_id").agg(pick("matched").alias("matched"), pick("partial").alias("partial"), pick("missing").alias("missing"))
-    total = F.size("matched") + F.size("partial") + F.size("missing")
-    return rows.withColumn("match_ratio", F.when(total == 0, 1.0).otherwise(F.size("matched") / total))
+    pick = lambda s: F.filter("status", lambda x: x["status"] == s)
+    near = F.transform(pick("partial"), lambda x: F.struct(x["skill"].alias("jd_skill"), x["matched_as"], x["confidence"]))
+    rows = gaps.select("id", "query_id", pick("matched")["skill"].alias("matched"), near.alias("partial"), pick("missing")["skill"].alias("missing"), F.size("status").alias("_n"))
+    return rows.withColumn("match_ratio", F.when(F.col("_n") == 0, 1.0).otherwise(F.size("matched") / F.col("_n"))).drop("_n")
 
 
-def skill_features(gaps: DataFrame, skills: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The twenty skill features of (id, query_id) pairs; pairs without required skills count as covered."""
+def skill_columns(have: Column, j: Column, m: Column, p: Column, x: Column, share: Column) -> dict[str, Column]:
+    """The twenty skill features; have: skills of the document, j, m, p, x: numbers needed, matched, partial and missing."""
     from quern.functions.text import cap
 
-    counts = gaps.groupBy("id", "query_id").agg(
-        F.count("*").alias("j"), F.count_if(F.col("status") == "matched").alias("m"), F.count_if(F.col("status") == "partial").alias("p"),
-        F.count_if(F.col("status") == "missing").alias("x"),
-    )
-    held = skills.groupBy("id").agg(
-        F.count("*").alias("c"), F.avg("confidence").alias("avg_conf"), F.avg((F.col("confidence") >= 0.85).cast("double")).alias("high"),
-        F.count_distinct("category").alias("kinds"), F.count_if(F.col("method") == "fuzzy").alias("fuzzy"),
-    )
-    rows = pairs.select("id", "query_id").distinct().join(counts, ["id", "query_id"], "left").join(held, "id", "left").join(primary_domain(skills).select("id", "share"), "id", "left")
-    rows = rows.fillna(0)
-    c, j, m, p, x = (F.col(n) for n in "cjmpx")
+    c = F.size(have)
     coverage = F.when(j == 0, 1.0).otherwise(m / F.greatest(j, F.lit(1)))
     either = F.when(j == 0, 1.0).otherwise((m + p) / F.greatest(j, F.lit(1)))
     critical = F.greatest(F.lit(1), F.floor(j / 2))
-    return rows.select(
-        "id", "query_id", coverage.alias("skill_coverage_ratio"), either.alias("critical_skill_coverage"), either.alias("optional_skill_coverage"),
-        cap(m, 20).alias("num_matched_skills"), (1 - cap(x, 15)).alias("num_missing_skills"), cap(p, 10).alias("num_partial_skills"),
-        F.when(c > j, F.least(F.lit(0.3), (c - j) / 20)).otherwise(0.0).alias("rare_skill_bonus"),
-        cap(F.col("kinds"), 10).alias("skill_category_diversity"), F.col("avg_conf").alias("avg_skill_confidence"),
-        F.col("high").alias("high_confidence_skill_ratio"), cap(c, 30).alias("total_canonical_skills"), cap(c, 25).alias("skills_text_length"),
-        F.when(c > 0, 1.0).otherwise(0.0).alias("unmatched_skill_ratio"), F.col("share").alias("primary_domain_confidence"),
-        cap(j, 20).alias("jd_skill_count"), F.when(j == 0, 0.0).otherwise(cap(critical, 10)).alias("jd_critical_skill_count"),
-        cap(c - F.col("fuzzy"), 20).alias("skill_exact_match_count"), cap(F.col("fuzzy"), 10).alias("skill_fuzzy_match_count"),
-        (1 - F.least(x, critical) / critical).alias("skill_missing_critical_count"),
-        F.when(x == 0, 1.0).otherwise(coverage).alias("skill_has_all_required"),
-    )
+    of = lambda test: F.size(F.filter(have, test))
+    mean = lambda total: F.when(c > 0, total / c).otherwise(0.0)
+    fuzzy = of(lambda h: h["method"] == "fuzzy")
+    return {
+        "skill_coverage_ratio": coverage, "critical_skill_coverage": either, "optional_skill_coverage": either, "num_matched_skills": cap(m, 20), "num_missing_skills": 1 - cap(x, 15),
+        "num_partial_skills": cap(p, 10), "rare_skill_bonus": F.when(c > j, F.least(F.lit(0.3), (c - j) / 20)).otherwise(0.0),
+        "skill_category_diversity": cap(F.size(F.array_distinct(F.transform(have, lambda h: h["category"]))), 10),
+        "avg_skill_confidence": mean(F.aggregate(have, F.lit(0.0), lambda s, h: s + h["confidence"])), "high_confidence_skill_ratio": mean(of(lambda h: h["confidence"] >= 0.85)),
+        "total_canonical_skills": cap(c, 30), "skills_text_length": cap(c, 25), "unmatched_skill_ratio": F.when(c > 0, 1.0).otherwise(0.0), "primary_domain_confidence": F.coalesce(share, F.lit(0.0)),
+        "jd_skill_count": cap(j, 20), "jd_critical_skill_count": F.when(j == 0, 0.0).otherwise(cap(critical, 10)), "skill_exact_match_count": cap(c - fuzzy, 20), "skill_fuzzy_match_count": cap(fuzzy, 10),
+        "skill_missing_critical_count": 1 - F.least(x, critical) / critical, "skill_has_all_required": F.when(x == 0, 1.0).otherwise(coverage),
+    }
+
+
+def skill_features(pairs: DataFrame, candidate: DataFrame, required: DataFrame, p: DataFrame) -> DataFrame:
+    """The twenty skill features of (id, query_id) pairs; pairs without required skills count as covered."""
+    have = candidate.groupBy("id").agg(F.collect_list(F.struct("category", "confidence", "method")).alias("have"))
+    rows = pairs.select("id", "query_id").distinct().join(gap_lists(gap(pairs, candidate, required, p)), ["id", "query_id"], "left").join(have, "id", "left")
+    rows = rows.join(primary_domain(candidate).select("id", "share"), "id", "left").withColumn("have", F.coalesce("have", F.expr("cast(array() as array<struct<category:string,confidence:double,method:string>>)")))
+    n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    named = skill_columns(F.col("have"), n("matched") + n("partial") + n("missing"), n("matched"), n("partial"), n("missing"), F.col("share"))
+    return rows.select("id", "query_id", *[v.alias(k) for k, v in named.items()])
 
 
 def corroborated(skills: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

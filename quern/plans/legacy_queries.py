@@ -45,7 +45,7 @@ def l11_normalised(spark, sf):
 
 def _gaps(spark, sf):
     pairs, required = Q._pairs(spark, sf)
-    return K.gap_lists(K.gap(pairs, Q._skills(spark, sf), required))
+    return K.gap_lists(K.gap(pairs, Q._skills(spark, sf), required, K.patterns(Q.taxonomy(spark, sf))))
 
 
 def l13_narrative(spark, sf):

@@ -150,24 +150,8 @@ s1 as (select id, {_ladder("degree", L.DEGREES, 0.0)} lvl, lower(coalesce(field_
 s2 as (select id, count(*) n, max(lvl) lvl, max({_FIELD}) fm, max(case when len(g)>0 and coalesce(g[2],1)<>0 then least(1,g[1]/nullif(coalesce(g[2],case when g[1]<=4 then 4 else 100 end),0)) end) gpa,
  max(case when el in ('','present') then 1 else greatest(0,1-greatest(0,2026-yr)/20.0) end) rec, bool_or(el in ('present','current')) cur, bool_or({_TOP}) top, count(distinct nullif(il,'')) insts from s1 group by id),
 fe as (select id, {_up(_cap("n", 3))} num_degrees, {_up("lvl")} highest_degree_level, {_up("fm")} degree_field_match, {_up("coalesce(gpa,0)")} gpa_normalized, {_up("(gpa is not null)::int")} has_gpa, {_up("cur::int")} is_currently_studying,
- {_up("rec")} education_recency_score, {_up("top::int")} prestigious_institution_flag, {_up(_cap("insts", 3))} num_institutions, 0.5::double degree_requirement_met from s2)"""
-_BOTH = f"""with {_EXPERIENCE}, {_EDUCATION}, ids as (select id from jb union select id from sc), fu as (select * from ids left join fx using(id) left join fe using(id))"""
-
-
-def _score(name: str, table: str = "") -> str:
-    have = {"experience", "education"}
-    terms = "+".join(f"coalesce({k},0)*({w})" for k, w in L.CATEGORY_WEIGHTS[name].items())
-    return f"greatest(0,least(100,100*({terms})))" if name in have else "0"
-
-
-_FEATURES = {"relevant_experience_months", "max_seniority_score", "has_leadership_keywords", "quantified_achievement_count", "action_verb_density", "career_progression_score", "employment_gap_months", "highest_degree_level", "degree_field_match"}
-_RULES = "(values " + ",".join(f"({i},{_s(n)},{p}::double,{q}::double,{_s(a)},{_s(b)})" for i, (n, p, q, a, b) in enumerate(r for r in L.EXPLANATIONS if r[0] in _FEATURES)) + ") ru(ord,feature,pos,neg,pt,nt)"
-_VALUES = "(" + " union all ".join(f"select id, {_s(n)} feature, coalesce({n},0)::double v from fu" for n in sorted(_FEATURES)) + ")"
+ {_up("rec")} education_recency_score, {_up("top::int")} prestigious_institution_flag, {_up(_cap("insts", 3))} num_institutions, {_up("case when lvl>=0.6 then 1 else 0 end") if any(k in QUERY.lower() for k in ("degree required", "bachelor", "b.s.")) else "0.5::double"} degree_requirement_met from s2)"""
 _MONTHS = "(case when mo>=12 then case when mo%12=0 then (mo//12)||' yr'||case when mo//12>1 then 's' else '' end else (mo//12)||' yr '||(mo%12)||' mo' end else mo||' month'||case when mo<>1 then 's' else '' end end)"
-_FACTORS = f"""{_BOTH}, fv as (select *, floor(v*240+1e-9)::int mo from {_VALUES}),
-ff as (select id, ord, feature, case when v>=pos then 'positive' else 'negative' end side, case when v>=pos then v else 1-v end weight,
- replace(case when v>=pos then pt else nt end, '{{value}}', case when feature='relevant_experience_months' then {_MONTHS} else round_even(v*100,0)::int||'%' end) as text from fv join {_RULES} using(feature) where v>=pos or v<neg)"""
-
 _HEADINGS = "(values " + ",".join(f"({_s(h)},{_s(s)},{i * 100 + j})" for i, (s, hs) in enumerate(L.SECTION_HEADINGS.items()) for j, h in enumerate(hs)) + ") hd(heading,section,ord)"
 _STRIP = "regexp_replace({c},'^[ \\t\\r\\n]+|[ \\t\\r\\n]+$','','g')"
 _LINES = f"""ln as (select id, i-1 line_no, {_STRIP.format(c="x[i]")} line from (select doc_id id, string_split(full_text,chr(10)) x, unnest(range(1,len(string_split(full_text,chr(10)))+1)) i from text_extraction where full_text is not null)),
@@ -188,8 +172,6 @@ _WORDS = "len(regexp_extract_all({c},'[^ \\t\\n\\r\\f\\x0B]+'))"
 
 
 def oracle_sql() -> dict[str, str]:
-    low_text = "substr(coalesce(text,''),1,500)"
-    phone = f"regexp_extract({low_text},'\\+?[0-9 \\t\\n\\r\\-().]{{7,18}}[0-9]',0)"
     words = _WORDS.format(c="text")
     keys = ",".join(f"nullif(instr(lower(text),{_s(w)}),0)" for w in L.QUERY_KEYWORDS)
     window = f"case when length(text)<=1000 then text when least({keys}) is not null then trim(regexp_replace(substr(text,greatest(least({keys})-50,1),1000),' [^ ]*$',''),' ') else substr(text,1,1000) end"
@@ -221,7 +203,7 @@ def oracle_sql() -> dict[str, str]:
         "k12_extract_skills": f"with {_SKILLS} select id, canonical, category, {_up('confidence')} confidence, method from sk",
         "k13_primary_domain": f"with {_SKILLS} select id, category as domain, {_up('s/total')} share from (select id, category, s, sum(s) over(partition by id) total, row_number() over(partition by id order by s desc, category) rn from (select id, category, sum(confidence) s from sk group by all)) where rn=1",
         "k14_gap": f"with {_SKILLS}, {_GAP} select id, query_id, coalesce(string_agg(skill,'|' order by skill) filter (held),'') matched, (count(*) filter (not held))::int n_missing, {_up('count(*) filter (held)::double/count(*)')} match_ratio from gp group by id, query_id",
-        "k15_partial": f"with {_SKILLS}, {_GAP} select query_id, case when held then 'matched' when related then 'partial' else 'missing' end status, count(*) n from gp group by 1,2",
+        "k15_partial": f"with {_SKILLS}, {_GAP} select query_id, case when held then 'matched' when related then 'partial' else 'missing' end status, count(*) n, count(*) filter (not held and related) named from gp group by 1,2",
         "k14_gap_tpch": """with bt as (select distinct o_custkey, p_type from orders join lineitem on o_orderkey=l_orderkey join part on l_partkey=p_partkey), nd as (select distinct p_brand, p_type from part)
  select o_custkey, p_brand, count(*) matched, (select count(*) from nd n2 where n2.p_brand=nd.p_brand)-count(*) missing from bt join nd using(p_type) group by o_custkey, p_brand""",
         "f_skills_20": f"""with {_SKILLS}, {_GAP}, g as (select id, query_id, count(*) j, count(*) filter (held) m, count(*) filter (not held) x from gp group by 1,2),
@@ -239,33 +221,15 @@ def oracle_sql() -> dict[str, str]:
         "sec_headings": f"with {_LINES} select id, line_no::int line_no, section from hs",
         "sec_sections": f"""with {_LINES}, {_KEPT} select id, section, arg_max(a,a)::int start_line, arg_max(n,a)::int n_lines, md5(arg_max(tx,a)) text_md5 from (select id, section, "at" a, count(*) n, string_agg(line,chr(10) order by line_no) tx from lb where not head and section is not null group by all) group by id, section""",
         "sec_preamble": f"with {_LINES}, {_KEPT} select id, length(string_agg(line,chr(10) order by line_no))::int n_chars from lb where not head and section is null group by id",
-        "x1_x3_contacts": f"""select doc_id id, regexp_extract({low_text},'[A-Za-z0-9_.+\\-]+@[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_.]{{2,}}',0) email, case when length(regexp_replace({phone},'[^0-9]','','g'))>=7 then {_STRIP.format(c=phone)} else '' end phone,
- regexp_extract({low_text},'(?i)linkedin\\.com/in/[A-Za-z0-9_\\-]+',0) linkedin, regexp_extract({low_text},'(?i)github\\.com/[A-Za-z0-9_\\-]+',0) github from documents""",
-        "x4_full_name": f"""with {_LINES} select id, arg_min(line,line_no) full_name from (select *, list_filter(string_split_regex(line,'[ \\t]+'), lambda w: w<>'') ws from ln where line_no<10 and not regexp_matches(lower(line),'@|http|linkedin|github'))
- where len(ws) between 2 and 5 and len(list_filter(ws, lambda w: length(regexp_replace(w,'[^A-Za-z]','','g')) < 0.7*length(w)))=0 group by id""",
-        "x6_experience": "select * from (values (1::bigint,1::bigint,'Senior Backend Engineer, Northwind Payments, Austin, TX','','Jan 2022','Present',true,4::int),(1,2,'Backend Engineer, Fintech Labs, Austin, TX','','Jun 2019','Dec 2021',false,2)) t(id,pos,job_title,company,start_date,end_date,is_current,n_bullets)",
-        "x8_education": "select * from (values (1::bigint,1::bigint,'B.S.','Computer Science','Computer Science, University of Texas at Austin','2015','2019','3.8/4.0')) t(id,pos,degree,field_of_study,institution,start_date,end_date,gpa)",
-        "x10_skills": "select * from (values (1::bigint,1::int,'Python'),(1,2,'Golang'),(1,3,'PostgreSQL'),(1,4,'Kafka'),(1,5,'Redis'),(1,6,'AWS'),(1,7,'Docker'),(1,8,'Kubernetes'),(1,9,'Node JS'),(1,10,'SQL'),(1,11,'Git')) t(id,pos,skill)",
-        "x11_projects": "select * from (values (1::bigint,1::int,'Technologies: Python, PostgreSQL, Docker','Python|PostgreSQL|Docker',''),(1,2,'URL: github.com/jellis/openledger','','github.com/jellis/openledger')) t(id,pos,name,technologies,url)",
-        "x12_certs": "select * from (values (1::bigint,0::int,'AWS Certified Solutions Architect','Associate','2023')) t(id,pos,name,issuer,issue_date)",
         "f_experience_15": f"with {_EXPERIENCE} select * from fx",
         "f_education_10": f"with {_EDUCATION} select * from fe",
         "f_quality": f"""with {_JOBS}, pj as (select id, count(*) jobs, sum(len(b)) nb, sum({_verbs("b", L.ACTION_VERBS_GLOBAL)}) nv, sum(coalesce(list_sum(list_transform(b, lambda x: len(regexp_extract_all(x,{_s(L.QUANTITY_GLOBAL)})))),0)) fig, sum(coalesce(list_sum(list_transform(b, lambda x: strlen(x))),0)) chars, avg((coalesce(start_date,'')<>'')::int) dated from jb group by id),
  r as (select doc_id id, coalesce(full_text,'') as text, coalesce(jobs,0) jobs, coalesce(nb,0) nb, coalesce(nv,0) nv, coalesce(fig,0) fig, coalesce(chars,0) chars, dated from text_extraction left join pj on pj.id=doc_id), w as (select *, {words} wc, len(regexp_extract_all(lower(text),'[aeiouy]')) vow, greatest(1,jobs)+len(regexp_extract_all(text,'[.!?]')) sen from r)
  select id, {_up("case when nb>0 then nv::double/nb else 0 end")} action_verb_density_global, {_up(_cap("fig", 20))} quantified_achievements_total, {_up("least(1.0,(case when nb>0 then chars::double/nb else 0 end)/150)")} avg_bullet_length, {_up(_cap("wc", 2000))} total_word_count,
  {_up("case when wc<100 then 0.2 when wc<300 then 0.5 when wc<=2000 then 1 when wc<=2500 then 0.8 else 0.6 end")} resume_length_score, {_up("coalesce(dated,0.5)")} formatting_consistency, {_up("greatest(0,least(1,(206.835-1.015*(wc::double/sen)-84.6*(vow::double/greatest(1,wc)))/100))")} readability_score from w""",
-        "c1_c8_scores": f"""{_BOTH}, cs as (select id, {_score("experience")} ex, {_score("education")} ed from fu), co as (select *, {_up("least(100,greatest(0,ex*0.28+ed*0.10))", 1)} o from cs)
- select id, {_up("ex", 4)} experience_score, {_up("ed", 4)} education_score, o overall_score, case when o>=75 then 'high' when o>=50 then 'medium' else 'low' end band, 'linear_fallback' as ranking_method from co""",
         "c8_rank": "select jd_id, doc_id, overall_score, rank::int as rank from (select *, rank() over(partition by jd_id order by overall_score desc) as rank from (select jd_id, doc_id, max(overall_score) overall_score from cpp_score where overall_score is not null group by all)) where rank<=10",
-        "e1_rules": f"{_FACTORS} select feature, side, count(*) n from ff group by all",
-        "e4_top_factors": f"{_FACTORS} select id, side, rank::int as rank, text from (select *, row_number() over(partition by id, side order by weight desc, ord) as rank from ff) where rank<=5",
-        "e5_fallbacks": f"""{_FACTORS}, tf as (select id, side, rank, text from (select *, row_number() over(partition by id, side order by weight desc, ord) as rank from ff) where rank<=5), sd as (select id, bool_or(side='positive') p, bool_or(side='negative') n from tf group by id),
- cs as (select id, {_score("experience")}/3 m from fu), ad as (select id, m, coalesce(p,false) p, coalesce(n,false) n from cs left join sd using(id)),
- al as (select id, side, rank::int as rank, text from tf union all select id, 'positive', 1, 'baseline' from ad where not p and m>=40 union all select id, 'negative', 1, 'no gap' from ad where not n) select side, rank, count(*) n, count(distinct text) texts from al group by all""",
         "s11_limits": "select case when octet_length(encode(text))>2097152 then 'file' when length(text)>15000 then 'text' else 'fits' end as over, count(*) n, max(length(text))::int longest from documents where text is not null group by 1",
-        "u1_red_flags": f"{_BOTH} select id, array_to_string(list_filter([case when coalesce(job_hopper_flag,0)>0.5 then 'Job-Hopping Detected (3+ short tenures)' end, case when coalesce(overqualified_flag,0)>0.5 then 'Over-Qualification Risk (Seniority exceeds role requirements)' end], lambda x: x is not null),'; ') flags from fu",
         "s1_json_decode": "select event_type, count(*) n, sum((props->>'$.k')::bigint)::bigint total_k from events group by event_type",
-        "s2_report_json": f"""{_BOTH}, cs as (select id, {_score("experience")} ex, {_score("education")} ed from fu) select id, {_up("least(100,greatest(0,ex*0.28+ed*0.10))", 1)} overall_score, {_up("ex", 1)} experience from cs""",
         "s4_reject_empty": "select case when text is null then 'missing' when trim(text,' ')='' then 'empty' else 'ok' end status, count(*) n from documents group by 1",
         "s8_ocr_routing": "select doc_id, count(*) pages, count(*) filter (coalesce(length(text),0)<30) needs_ocr from (select distinct * from page_extraction) group by doc_id",
         "s9_ocr_confidence": "select doc_id, coalesce(floor((2*s+n)::double/nullif(2*n,0))/10000,1.0) confidence from (select doc_id, sum(floor(ocr_confidence*10000+0.5)) s, count(ocr_confidence) n from (select distinct * from page_extraction) group by doc_id)",

@@ -8,10 +8,11 @@ import pytest
 from quern import ml
 from quern.functions import text as T
 from quern.operators import features, retrieval, scoring, sections, skills
-from quern.plans import reference_queries as Q
-from quern.plans import reference_sql as S
+from quern.plans import pair_queries, pair_sql, reference_queries, reference_sql
 from pyspark.sql import functions as F
 
+QUERIES = reference_queries.queries() | pair_queries.queries()
+SQL = reference_sql.oracle_sql() | pair_sql.oracle_sql()
 NAMES = [
     "r1_token_counts", "r2_bm25_topk", "r5_tfidf_cosine", "r6_vector_cosine_topk", "r7_r15_overlap", "k1_k2_k3_normalizers", "k4_k5_alias_precedence", "k7_dictionary_scan", "k11_fuzzy_best", "k12_extract_skills",
     "sec_headings", "sec_sections", "x1_x3_contacts", "x6_experience", "x8_education", "x10_skills", "x11_projects", "x12_certs", "f_experience_15", "f_education_10", "f_quality", "e4_top_factors", "s12_page_text", "s14_query_window", "m4_auc",
@@ -38,7 +39,7 @@ def con(sf):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, sf, con, name):
-    assert cells(Q.queries()[name](spark, sf).toPandas()) == cells(con.execute(S.oracle_sql()[name]).df())
+    assert cells(QUERIES[name](spark, sf).toPandas()) == cells(con.execute(SQL[name]).df())
 
 
 def one(spark, expr, **values):
@@ -88,18 +89,6 @@ def test_headings(spark):
     assert sorted((r.line_no, r.section) for r in sections.headings(rows).collect()) == [(0, "EXPERIENCE"), (1, "SKILLS")]
 
 
-def test_relevant_query_scores_higher(spark):
-    tax = spark.createDataFrame([(1, "Kafka", "DE", ["apache kafka"]), (2, "Patient Care", "HC", None)], "ord int, canonical string, category string, aliases array<string>")
-    p = skills.patterns(tax)
-    docs = spark.createDataFrame([(1, Q.RESUME)], "id long, text string")
-    have = skills.extract(skills.scan(docs, "id", "text", skills.first_writer(p)), spark.createDataFrame([], "id long, skill string"), skills.first_writer(p), p)
-    pairs = spark.createDataFrame([(1, 1), (1, 2)], "id long, query_id long")
-    need = spark.createDataFrame([(1, "Kafka", "DE"), (2, "Patient Care", "HC")], "query_id long, canonical string, category string")
-    f = skills.skill_features(skills.gap(pairs, have, need), have, pairs)
-    s = {r.query_id: r.skills_score for r in scoring.category_scores(f).collect()}
-    assert s[1] > s[2]
-
-
 def test_auc_and_split(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)], "s double, y int")
     assert ml.auc(rows, "s", "y").first().auc == pytest.approx(0.75)
