@@ -54,8 +54,8 @@ def resumes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Tokens of the documents and of the query items."""
-    return R.tokenised(table(spark, sf, "documents"), "doc_id", "text"), R.tokenised(table(spark, sf, "eval_items"), "item_id", "text")
+    """(id, text) of the documents and of the query items."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf, "eval_items").select(F.col("item_id").alias("id"), "text")
 
 
 def taxonomy(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,32 +90,29 @@ def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def r1_token_counts(spark, sf):
-    d, _ = corpus(spark, sf)
+    d = R.tokenised(corpus(spark, sf)[0], "id", "text")
     return d.select(F.col("id").alias("doc_id"), F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_unique"))
 
 
 def r1_unique_terms(spark, sf):
-    d, _ = corpus(spark, sf)
-    return R.index(d).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+    return R.index(R.tokenised(corpus(spark, sf)[0], "id", "text")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
 def r2_bm25_topk(spark, sf):
-    return R.top_k(R.bm25_pairs(*corpus(spark, sf)), "bm25", 5)
+    return R.top_documents(*corpus(spark, sf), "bm25", 5)
 
 
 def r3_bm25_norm(spark, sf):
-    pairs = R.bm25_pairs(*corpus(spark, sf)).withColumn("bm25_score", F.col("bm25") / (F.col("bm25") + 10))
-    return R.top_k(pairs, "bm25_score", 5)
+    return R.top_documents(*corpus(spark, sf), "bm25", 5, name="bm25_score", normalised=True)
 
 
 def r4_idf_lookup(spark, sf):
-    _, q = corpus(spark, sf)
-    terms = R.with_idf(R.index(q).groupBy("term").agg(F.sum("tf").alias("tf")))
+    terms = R.with_idf(R.index(R.tokenised(corpus(spark, sf)[1], "id", "text")).groupBy("term").agg(F.sum("tf").alias("tf")))
     return terms.select("term", "tf", "idf")
 
 
 def r5_tfidf_cosine(spark, sf):
-    return R.top_k(R.tfidf_pairs(*corpus(spark, sf)), "tfidf", 5)
+    return R.top_documents(*corpus(spark, sf), "tfidf", 5)
 
 
 def r6_vector_cosine_topk(spark, sf):
@@ -127,16 +124,17 @@ def r6_pair_cosine(spark, sf):
     return c.select("score_id", T.half_up(R.cosine(F.col("resume_embedding"), F.col("jd_embedding")), 6).alias("cosine_similarity"))
 
 
-def r7_r15_overlap(spark, sf):
+def _top_pairs_features(spark, sf):
     d, q = corpus(spark, sf)
-    pairs = R.top_k(R.bm25_pairs(d, q), "bm25", 5).select("query_id", "doc_id")
-    return rounded(R.overlap_features(pairs, d, q))
+    return rounded(R.overlap_features(R.top_documents(d, q, "bm25", 5), d, q))
+
+
+def r7_r15_overlap(spark, sf):
+    return _top_pairs_features(spark, sf).drop("tf_weighted_keyword_score")
 
 
 def r13_tf_weighted(spark, sf):
-    d, q = corpus(spark, sf)
-    pairs = R.top_k(R.bm25_pairs(d, q), "bm25", 5).select("query_id", "doc_id")
-    return rounded(R.tf_weighted(pairs, d, q))
+    return _top_pairs_features(spark, sf).select("query_id", "doc_id", F.col("tf_weighted_keyword_score").alias("tf_weighted"))
 
 
 def k1_k2_k3_normalizers(spark, sf):

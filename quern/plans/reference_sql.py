@@ -191,8 +191,8 @@ def oracle_sql() -> dict[str, str]:
  case when len(d.t)>=2 then list_distinct(list_transform(range(1,len(d.t)), lambda i: d.t[i]||' '||d.t[i+1])) else [] end db, case when len(q.t)>=2 then list_distinct(list_transform(range(1,len(q.t)), lambda i: q.t[i]||' '||q.t[i+1])) else [] end qb
  from pr join dt d using(doc_id) join qt q using(query_id))
  select query_id, doc_id, {_up("case when len(qu)>0 then len(list_intersect(du,qu))::double/len(qu) else 0 end")} keyword_overlap_ratio, {_up("case when len(qu)>0 then len(list_intersect(du,qu))::double/len(qu) else 1 end")} jd_term_coverage, {_up(_cap("len(list_intersect(du,qu))", 30))} keyword_overlap_count,
- {_up("case when len(qb)>0 then len(list_intersect(db,qb))::double/len(qb) else 0 end")} bigram_overlap, {_up("case when qn>0 then least(1,dn::double/qn/3) else 0.5 end")} length_ratio, {_up(_cap(f"len(list_intersect(qu,{_TECH}))", 20))} jd_tech_count, {_up(_cap(f"len(list_intersect(du,{_TECH}))", 30))} resume_tech_count,
- {_up(_cap("len(qu)", 200))} jd_unique_terms, {_up(_cap("len(du)", 400))} resume_unique_terms, 0.5::double title_match_score, 0.5::double summary_jd_similarity from f""",
+ {_up("case when len(qb)>0 then len(list_intersect(db,qb))::double/len(qb) else 0 end")} bigram_overlap_ratio, {_up("case when qn>0 then least(1,dn::double/qn/3) else 0.5 end")} resume_jd_length_ratio, {_up(_cap(f"len(list_intersect(qu,{_TECH}))", 20))} jd_tech_term_count, {_up(_cap(f"len(list_intersect(du,{_TECH}))", 30))} resume_tech_term_count,
+ {_up(_cap("len(qu)", 200))} jd_unique_term_count, {_up(_cap("len(du)", 400))} resume_unique_term_count, 0.5::double title_match_score, 0.5::double summary_jd_similarity from f""",
         "r13_tf_weighted": f"""{_PAIRS5} select query_id, doc_id, {_up("least(1.0, sum((q.tf::double/q.total)*least(1.0, coalesce(d.tf::double/d.total,0)/((q.tf::double/q.total)+0.001)))/sum(q.tf::double/q.total))")} tf_weighted from pr join qi q using(query_id) left join di d using(doc_id, term) group by query_id, doc_id""",
         "k1_k2_k3_normalizers": f"select job_title, {_k1('job_title')} k1, {_k2('job_title')} k2, {_k3('job_title')} k3 from (select distinct job_title from experience where job_title is not null)",
         "k4_k5_alias_precedence": f"with {_PATTERNS} select pattern, fw.canonical first_canonical, l.canonical last_canonical from fw join (select pattern, canonical from pt qualify row_number() over(partition by pattern order by ord desc, alias_ord desc)=1) l using(pattern)",

@@ -65,13 +65,38 @@ def test_length_bands_and_months(spark):
 
 
 def test_bm25_and_cosine(spark):
-    d = retrieval.tokenised(spark.createDataFrame([(1, "python python kafka"), (2, None), (3, "")], "i int, t string"), "i", "t")
-    q = retrieval.tokenised(spark.createDataFrame([(9, "python")], "i int, t string"), "i", "t")
-    assert retrieval.bm25_pairs(d, q).collect()[0].bm25 == pytest.approx(math.log(1 + 3 / 3) * 2 * 2.5 / (2 + 1.5))
+    d = spark.createDataFrame([(1, "python python kafka"), (2, None), (3, ""), (4, "rust")], "id long, text string")
+    q = spark.createDataFrame([(9, "python"), (8, "of the"), (7, None)], "id long, text string")
+    best = retrieval.top_documents(d, q, "bm25", 2).collect()
+    assert [(r.query_id, r.rank, r.doc_id) for r in best] == [(9, 1, 1)] and best[0].bm25 == pytest.approx(math.log(1 + 3 / 3) * 2 * 2.5 / (2 + 1.5), abs=1e-6)
+    assert retrieval.top_documents(d.where("id = 0"), q, "bm25", 2).count() == 0 == retrieval.top_documents(d, q.where("id = 0"), "tfidf", 2).count()
     v = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), ([1.0], [1.0, 2.0]), (None, [1.0]), ([0.0], [0.0])], "a array<float>, b array<float>")
     assert [round(r[0], 6) for r in v.select(retrieval.cosine(F.col("a"), F.col("b"))).collect()] == [0.8, 0, 0, 0, 0]
 
 
+@pytest.mark.parametrize("postings", [2_000_000, 4])
+def test_top_documents_equal_brute_force(spark, monkeypatch, postings):
+    import random
+
+    from quern import lexicon as L
+
+    monkeypatch.setattr(retrieval, "POSTINGS", postings)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    rng, words = random.Random(3), ["kafka", "python", "alpha", "beta", "gamma", "delta", "rust"]
+    docs = {i: [rng.choice(words) for _ in range(rng.randrange(0, 12))] for i in range(40)} | {99: ["kafka", "rust"], 98: ["kafka", "rust"]}
+    asks = {i: [rng.choice(words) for _ in range(rng.randrange(1, 5))] for i in range(6)}
+    idf = dict(L.idf_terms())
+    vec = lambda t: {x: t.count(x) / len(t) * idf.get(x, L.DEFAULT_IDF) for x in t}
+    dot = lambda a, b: sum(v * b.get(x, 0) for x, v in a.items())
+    bm25 = lambda d, q: sum(math.log(1 + len(d) / (d.count(x) + 1)) * d.count(x) * 2.5 / (d.count(x) + 1.5) for x in set(q) if x in d)
+    tfidf = lambda d, q: dot(vec(d), vec(q)) / math.sqrt(dot(vec(d), vec(d)) * dot(vec(q), vec(q))) if d else 0
+    frame = lambda x: spark.createDataFrame([(i, " ".join(t)) for i, t in x.items()], "id long, text string")
+    for name, f in (("bm25", bm25), ("tfidf", tfidf)):
+        want = {q: [i for s, i in sorted((-round(f(d, a), 6), i) for i, d in docs.items() if f(d, a) > 0)[:3]] for q, a in asks.items()}
+        got = retrieval.top_documents(frame(docs), frame(asks), name, 3).orderBy("query_id", "rank").collect()
+        assert {q: [r.doc_id for r in got if r.query_id == q] for q in asks} == want
+
+
 def test_gpa(spark):
     rows = spark.createDataFrame([("3.8/4.0",), ("3.6",), ("85",), ("9/10",), ("n/a",), (None,), ("3/0",)], "g string")
     assert [r[0] and round(r[0], 4) for r in rows.select(features.gpa_share(F.col("g"))).collect()] == [0.95, 0.9, 0.85, 0.9, None, None, None]
