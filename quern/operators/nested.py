@@ -1,165 +1,242 @@
-"""Nested semi-structured records to flat child tables, on Spark's VARIANT type."""
+"""Deeply nested semi-structured records to flat child tables.
+
+The schema is inferred over all records first and merged: every path that
+occurs, with the kinds of values met there. From it come the places in their
+envelopes where records lie and the spellings of every wanted member, so that
+each record is then parsed once into a VARIANT and read by exact paths.
+"""
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import durable
+
 
 @dataclass(frozen=True)
-class Level:
-    """One array level: name in the path, member names that hold it (folded), and the levels below.
+class Wanted:
+    """A table that is wanted: its name, the beginning of its member's name (folded), the tables below.
 
     item: members are texts or objects whose text is their `text` or `name`.
     """
 
     name: str
-    keys: tuple[str, ...]
+    stem: str
     item: bool = False
-    below: tuple[Level, ...] = ()
+    below: tuple[Wanted, ...] = ()
 
 
-_TECH = Level("technology", ("technologiesused", "technologyused", "technologies", "technology"), item=True)
-_PROJECT = Level("project", ("projects", "project"), below=(_TECH,))
+_PROJECT = Wanted("project", "project", below=(Wanted("technology", "technolog", item=True),))
 RESUME = (
-    Level("experience", ("experience", "experiences"), below=(
-        Level("responsibility", ("responsibilities", "responsibility"), item=True), _PROJECT,
-    )),
-    Level("education", ("education", "educations"), below=(Level("degree", ("degree", "degrees"), item=True),)),
+    Wanted("experience", "experience", below=(Wanted("responsibility", "responsibilit", item=True), _PROJECT)),
+    Wanted("education", "education", below=(Wanted("degree", "degree", item=True),)),
     _PROJECT,
 )
-#: Where the record may lie in its envelope, nearest first.
-ENVELOPES = ("$", "$.resume", "$.data", "$.sections", "$.data.resume", "$.resume.sections", "$.data.resume.sections", "$.result", "$.result.data", "$.result.resume", "$.result.data.resume", "$.result.data.resume.sections")
+
+
+@dataclass(frozen=True)
+class Level:
+    """One array level as found: its table, the spellings of its member, the levels below."""
+
+    name: str
+    keys: tuple[str, ...]
+    item: bool
+    below: tuple[Level, ...]
+
+
+#: Steps of a schema path besides member names: the members of an array, a record written as JSON text.
+MEMBERS, QUOTED = "[]", "{text}"
+
+
+def _shapes(value, at: tuple[str, ...], found: set) -> None:
+    todo = [(value, at)]
+    while todo:
+        v, path = todo.pop()
+        if isinstance(v, dict):
+            found.add((path, "object"))
+            todo += [(x, (*path, k)) for k, x in v.items()]
+        elif isinstance(v, list):
+            found.add((path, "array"))
+            todo += [(x, (*path, MEMBERS)) for x in v]
+        elif v is not None:
+            found.add((path, "text" if isinstance(v, str) else "scalar"))
+            if isinstance(v, str) and v.lstrip()[:1] == "{":
+                try:
+                    inner = json.loads(v)
+                except (ValueError, RecursionError):
+                    continue
+                todo.append((inner, (*path, QUOTED)))
+
+
+def merged_schema(raw: DataFrame, payload: str) -> DataFrame:
+    """(path array<string>, kind): every path of all readable payloads with each kind of value met there, once.
+
+    Steps are member names, `[]` for the members of an array and `{text}` for
+    JSON inside a text; broken and null payloads have none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found: set = set()
+            for text in batch["_p"]:
+                try:
+                    _shapes(json.loads(text), (), found)
+                except (ValueError, RecursionError):
+                    continue
+            rows = sorted(found)
+            yield pd.DataFrame({"path": pd.Series([list(p) for p, _ in rows], dtype=object), "kind": pd.Series([k for _, k in rows], dtype=object)})
+
+    texts = raw.select(F.col(payload).cast("string").alias("_p")).where(F.col("_p").isNotNull())
+    return texts.mapInPandas(run, "path array<string>, kind string").distinct()
+
+
+def _fold(key: str) -> str:
+    return re.sub("[^A-Za-z0-9]", "", key).lower()
+
+
+def found_levels(paths: list[tuple[str, ...]], wanted: tuple[Wanted, ...] = RESUME) -> tuple[list[tuple[str, ...]], tuple[Level, ...]]:
+    """(places, levels): where records lie in their envelopes, the nearest first, and the levels of the wanted tables.
+
+    A place is a path without arrays that has a wanted member; the spellings
+    of a level are those found below any of its parents.
+    """
+    members: dict[tuple[str, ...], set[str]] = {}
+    for p in paths:
+        if p and p[-1] not in (MEMBERS, QUOTED):
+            members.setdefault(p[:-1], set()).add(p[-1])
+    stems = tuple(w.stem for w in wanted)
+    places = sorted((p for p, keys in members.items() if MEMBERS not in p and any(_fold(k).startswith(stems) for k in keys)), key=lambda p: (len(p), p))
+    inside = [w for w in places if not any(_fold(k).startswith(stems) for k in w)]
+
+    def level(parents: list[tuple[str, ...]], w: Wanted) -> Level:
+        hits = sorted({(p, k) for p in parents for k in members.get(p, ()) if _fold(k).startswith(w.stem)})
+        nodes = [n for p, k in hits for n in ((*p, k), (*p, k, MEMBERS))]
+        return Level(w.name, tuple(sorted({k for _, k in hits}, key=lambda k: (len(_fold(k)), k))), w.item, tuple(level(nodes, b) for b in w.below))
+
+    return inside, tuple(level(inside, w) for w in wanted)
 
 
 def _array(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _members(v: Column) -> Column:
-    """Members of an object as an array of (key, value); null for anything else."""
-    return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+def _get(v: Column, path: tuple[str, ...], kind: str = "variant") -> Column:
+    """The value at a path of member names; a part written as JSON text is parsed."""
+    at, steps = v, []
+    for step in path:
+        if step == QUOTED:
+            at, steps = F.try_parse_json(F.try_variant_get(at, _path(steps), "string")), []
+        else:
+            steps.append(step)
+    return F.try_variant_get(at, _path(steps), kind)
+
+
+def _path(steps: list[str]) -> str:
+    quoted = [f"['{s}']" if "'" not in s else f'["{s}"]' for s in steps]
+    return "$" + "".join(quoted)
 
 
-def _member(members: Column, keys: tuple[str, ...]) -> Column:
-    """The first member whose folded name is one of keys; spellings differ in case and in _ or -."""
-    fold = lambda k: F.lower(F.regexp_replace(k, "[^A-Za-z0-9]", ""))
-    hit = F.filter(members, lambda e: fold(e["key"]).isin(*keys) & ~F.is_variant_null(e["value"]))
-    return F.try_element_at(hit, F.lit(1))["value"]
+def _filled(v: Column) -> Column:
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), v)
+
+
+def _member(v: Column, keys: tuple[str, ...]) -> Column:
+    """The first of the members of these names that is there and not null."""
+    return F.coalesce(*[_filled(_get(v, (k,))) for k in keys]) if keys else F.lit(None).cast("variant")
 
 
 def _as_list(v: Column) -> Column:
     """The members of an array; a single value or object counts as a list of one; null has none."""
-    return F.when(~F.is_variant_null(v), F.coalesce(_array(v), F.array(v)))
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), F.coalesce(_array(v), F.array(v)))
 
 
 def _blank(text: Column) -> Column:
-    return F.coalesce(F.regexp_replace(text, r"[\s 　​﻿]+", "") == "", F.lit(True))
+    return F.coalesce(F.regexp_replace(text, r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+", "") == "", F.lit(True))
+
+
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
-def _text(v: Column, members: Column) -> Column:
+def _text(v: Column, is_object: Column) -> Column:
     """Text of an item: a scalar itself, of an object its text or name."""
-    named = F.filter(members, lambda e: e["key"].isin("text", "name") & ~_blank(F.try_variant_get(e["value"], "$", "string")))
-    first = F.try_element_at(F.reverse(F.array_sort(F.transform(named, lambda e: F.struct(e["key"], F.try_variant_get(e["value"], "$", "string").alias("t"))))), F.lit(1))["t"]
-    return F.when(members.isNotNull(), first).when(_array(v).isNull(), F.try_variant_get(v, "$", "string"))
+    named = [F.try_variant_get(v, f"$.{k}", "string") for k in ("text", "name")]
+    first = F.coalesce(*[F.when(~_blank(t), t) for t in named])
+    return F.when(is_object, first).when(_array(v).isNull(), F.try_variant_get(v, "$", "string"))
 
 
-def parse_records(raw: DataFrame, id_col: str, payload: str, content: tuple[Level, ...] = RESUME) -> DataFrame:
-    """(id, body): the object inside the envelope; a record written as JSON text inside the JSON is read too.
+def parse_records(raw: DataFrame, id_col: str, payload: str, places: list[tuple[str, ...]], levels: tuple[Level, ...]) -> DataFrame:
+    """(id, body): of each record the object at the nearest place that has any of the wanted members.
 
     Broken payloads and those without any of the wanted members give no row.
     """
+    keys = tuple(k for level in levels for k in level.keys)
     rows = raw.select(id_col, F.try_parse_json(F.col(payload)).alias("_v")).where(F.col("_v").isNotNull())
-    keys = tuple(k for level in content for k in level.keys)
-    texts = [F.try_variant_get("_v", p, "string") for p in ("$", "$.resume", "$.data", "$.result", "$.data.resume", "$.result.data.resume")]
-    rows = rows.withColumn("_top", _members(F.col("_v")))
-    plain = _member(F.col("_top"), keys).isNotNull()
-    rows = rows.withColumn("_plain", F.coalesce(plain, F.lit(False)))
-    spots = F.array(*[F.try_variant_get("_v", p, "variant") for p in ENVELOPES])
-    quoted = F.array(*[F.try_parse_json(t) for t in texts])
-    rows = rows.withColumn("_spots", F.when(F.col("_plain"), F.array("_v")).otherwise(F.concat(spots, quoted)))
-    good = F.filter(F.col("_spots"), lambda x: F.coalesce(_member(_members(x), keys).isNotNull(), F.lit(False)))
-    return rows.select(id_col, F.try_element_at(good, F.lit(1)).alias("body")).where(F.col("body").isNotNull())
-
-
-def merged_schema(records: DataFrame) -> DataFrame:
-    """(level, merged_schema): the schema inferred over all records, one aggregate without collecting any."""
-    return records.agg(F.schema_of_variant_agg(F.col("body")).alias("merged_schema"))
-
-
-def _explode_level(parents: DataFrame, id_col: str, level: Level) -> DataFrame:
-    """(id, parent_key, row_key, ordinal, text, members) of a level; parents has (id, row_key, members)."""
-    lists = parents.select(id_col, F.col("row_key").alias("parent_key"), _as_list(_member(F.col("members"), level.keys)).alias("_l"))
-    rows = lists.select(id_col, "parent_key", F.posexplode("_l").alias("ordinal", "_m")).where(~F.is_variant_null("_m"))
-    rows = rows.withColumn("members", _members(F.col("_m"))).withColumn("text", _text(F.col("_m"), F.col("members")))
-    rows = rows.where(~_blank(F.col("text")) | (F.lit(not level.item) & F.col("members").isNotNull()))
-    key = F.concat_ws("/", F.when(F.col("parent_key") != "", F.col("parent_key")), F.lit(level.name), F.col("ordinal"))
-    return rows.select(id_col, "parent_key", key.alias("row_key"), "ordinal", "text", "members")
-
-
-def child_tables(records: DataFrame, id_col: str, levels: tuple[Level, ...] = RESUME) -> dict[str, DataFrame]:
-    """One flat table per array level, recursively; a row's key is its path, its parent's key the path above it.
-
-    Columns: id, parent_key ('' at the top), row_key, ordinal (0-based in the
-    source array, empty members counted), text, members.
-    """
-    root = records.select(id_col, F.lit("").alias("row_key"), _members(F.col("body")).alias("members"))
-    out: dict[str, DataFrame] = {}
-
-    def walk(parents: DataFrame, at: str, below: tuple[Level, ...]) -> None:
-        for level in below:
-            name = f"{at}_{level.name}" if at else level.name
-            out[name] = _explode_level(parents, id_col, level)
-            walk(out[name], name, level.below)
-
-    walk(root, "", levels)
-    return out
+    if not places or not keys:
+        return rows.select(id_col, F.col("_v").alias("body")).where(F.lit(False))
+    spots = [_get(F.col("_v"), p) for p in places]
+    good = F.coalesce(*[F.when(_member(s, keys).isNotNull(), s) for s in spots])
+    return rows.select(id_col, good.alias("body")).where(F.col("body").isNotNull())
 
 
-def _all_levels(levels: tuple[Level, ...], at: str = "") -> list[tuple[str, Level]]:
-    """(name of the table of the parent, level) of every level, the top ones first."""
-    found = [(at, level) for level in levels]
-    for level in levels:
-        found += _all_levels(level.below, f"{at}_{level.name}" if at else level.name)
-    return found
+CHILD = "at string, parent_key string, path string, ordinal int, text string"
 
 
-def child_paths(raw: DataFrame, id_col: str = "raw_id", payload: str = "payload", levels: tuple[Level, ...] = RESUME) -> DataFrame:
-    """(id, path): every child of every readable payload, in one pass over the records.
+def child_rows(raw: DataFrame, id_col: str = "raw_id", payload: str = "payload", wanted: tuple[Wanted, ...] = RESUME) -> DataFrame:
+    """(id, at, parent_key, path, ordinal, text): every child of every readable payload, in one pass over the records.
 
-    Each round explodes one array level of all parents at once; a payload is
-    parsed once and nothing is shuffled. Null members, null, empty and blank
-    texts are no children, broken payloads have no rows, repeated ids are kept.
+    at: name of the child's table. path: its key, unique within the record;
+    parent_key: the key of its parent, '' at the top; ordinal: 0-based place in
+    the source array, empty members counted. A payload is parsed once, each
+    round explodes one array level of all parents, and nothing is shuffled.
+    Null members, null, empty and blank texts are no children, broken payloads
+    have no rows, repeated ids are kept.
     """
-    records = parse_records(raw, id_col, payload, levels)
-    rows = records.select(id_col, F.lit("").alias("path"), F.lit("").alias("at"), F.col("body").alias("v"))
-    tree, depth = _all_levels(levels), 0
-    wave = {""}
-    rows = rows.withColumn("_m", _members(F.col("v")))
-    while wave:
-        here = [(parent, level) for parent, level in tree if parent in wave]
-        if not here:
-            break
-        own = F.array(F.struct("path", F.lit("").alias("at"), F.lit(None).cast("variant").alias("v")))
-        lists = [own]
-        for k, (parent, level) in enumerate(here):
-            name = f"{parent}_{level.name}" if parent else level.name
-            rows = rows.withColumn(f"_v{k}", F.when(F.col("at") == parent, _member(F.col("_m"), level.keys)) if depth or parent else _member(F.col("_m"), level.keys))
-            rows = rows.withColumn(f"_l{k}", _as_list(F.col(f"_v{k}")))
-            child = lambda m, i, level=level, name=name: F.struct(
-                F.concat(F.col("path"), F.lit("/" if depth else ""), F.lit(f"{level.name}/"), i.cast("string")).alias("path"), F.lit(name).alias("at"), m.alias("v")
-            )
-            lists.append(F.transform(F.col(f"_l{k}"), _two(child)))
-        rows = rows.select(id_col, F.explode(F.concat(*[F.coalesce(x, F.slice(own, 1, 0)) for x in lists])).alias("c")).select(id_col, "c.*")
-        items = [f"{p}_{level.name}" if p else level.name for p, level in tree if level.item]
-        rows = rows.where((F.col("at") == "") | ~F.is_variant_null("v")).withColumn("_m", _members(F.col("v")))
-        there = ~_blank(_text(F.col("v"), F.col("_m"))) | (~F.col("at").isin(*items) & F.col("_m").isNotNull())
-        rows = rows.where((F.col("at") == "") | there)
-        wave = {f"{p}_{level.name}" if p else level.name for p, level in here}
-        depth += 1
-    return rows.where(F.col("path") != "").select(id_col, "path")
+    schema = [tuple(r.path) for r in merged_schema(raw, payload).select("path").distinct().collect()]  # one row a path of the schema
+    places, levels = found_levels(schema, wanted)
+    rows = parse_records(raw, id_col, payload, places, levels)
+    rows = rows.select(id_col, F.lit("").alias("at"), F.lit("").alias("parent_key"), F.lit("").alias("path"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("text"), F.col("body").alias("v"))
+    wave: dict[str, tuple[Level, ...]] = {"": levels}
+    while any(wave.values()):
+        fresh = {f"{at}_{x.name}" if at else x.name: x for at, below in wave.items() for x in below}
+        own = F.array(F.struct("at", "parent_key", "path", "ordinal", "text", F.lit(None).cast("variant").alias("v")))
+        lists = []
+        for k, (at, x) in enumerate((at, x) for at, below in wave.items() for x in below):
+            name = f"{at}_{x.name}" if at else x.name
+            rows = rows.withColumn(f"_v{k}", F.when(F.col("at") == at, _member(F.col("v"), x.keys)))
+            child = lambda m, i, name=name, x=x: F.struct(
+                F.lit(name).alias("at"), F.col("path").alias("parent_key"), F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("/"))).otherwise(""), F.lit(f"{x.name}/"), i.cast("string")).alias("path"),
+                i.cast("int").alias("ordinal"), F.lit(None).cast("string").alias("text"), m.alias("v"),
+            )
+            lists.append(F.transform(_as_list(F.col(f"_v{k}")), _two(child)))
+        rows = rows.select(id_col, F.explode(F.concat(F.filter(own, lambda r: r["at"] != ""), *[F.coalesce(x, F.slice(own, 1, 0)) for x in lists])).alias("c")).select(id_col, "c.*")
+        born = F.col("v").isNotNull()
+        rows = rows.where(~born | ~F.is_variant_null("v")).withColumn("_o", F.when(born, _is_object(F.col("v")))).withColumn("text", F.when(born, _text(F.col("v"), F.col("_o"))).otherwise(F.col("text")))
+        items = [n for n, x in fresh.items() if x.item]
+        rows = rows.where(~born | ~_blank(F.col("text")) | (~F.col("at").isin(*items) & F.col("_o"))).drop("_o")
+        wave = {n: x.below for n, x in fresh.items()}
+    return rows.select(id_col, "at", "parent_key", "path", "ordinal", "text")
+
+
+def child_tables(raw: DataFrame, id_col: str = "raw_id", payload: str = "payload", wanted: tuple[Wanted, ...] = RESUME) -> dict[str, DataFrame]:
+    """One flat table per wanted array level: (id, parent_key, path, ordinal, text), from rows written once."""
+    rows = durable(child_rows(raw, id_col, payload, wanted))
+
+    def names(levels: tuple[Wanted, ...], at: str = "") -> list[str]:
+        return [n for x in levels for name in (f"{at}_{x.name}" if at else x.name,) for n in (name, *names(x.below, name))]
+
+    return {n: rows.where(F.col("at") == n).drop("at") for n in names(wanted)}
+
+
+def child_paths(raw: DataFrame, id_col: str = "raw_id", payload: str = "payload", wanted: tuple[Wanted, ...] = RESUME) -> DataFrame:
+    """(id, path): the keys of all `child_rows`."""
+    return child_rows(raw, id_col, payload, wanted).select(id_col, "path")
 
 
 def _two(f):

@@ -26,7 +26,7 @@ def _key(x: str, *names: str) -> str:
 
 def _level(name: str, source: str, list_sql: str, prefix: str, item: bool) -> str:
     keep = _has_text("m") if item else f"(json_type(m)='OBJECT' or {_has_text('m')})"
-    return f"""{name} as (select raw_id, {prefix}||(i-1) path, m from (select raw_id, path, i, l[i] m from (select raw_id, path, l, unnest(range(1,len(l)+1)) i from (select raw_id, path, {list_sql} l from {source}))) where m is not null and {keep})"""
+    return f"""{name} as (select raw_id, path pk, i-1 place, {prefix}||(i-1) path, m from (select raw_id, path, i, l[i] m from (select raw_id, path, l, unnest(range(1,len(l)+1)) i from (select raw_id, path, {list_sql} l from {source}))) where m is not null and {keep})"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -41,8 +41,12 @@ def oracle_sql() -> dict[str, str]:
         _level("pr", "b", _list("json_extract(m,'$.projects')"), "'project/'", False),
         _level("te", "pr", tech, "path||'/technology/'", True),
     ]
-    every = " union all ".join(f"select raw_id, path from {n}" for n in ("ex", "re", "ep", "et", "ed", "de", "pr", "te"))
+    tables = {"ex": "experience", "re": "experience_responsibility", "ep": "experience_project", "et": "experience_project_technology", "ed": "education", "de": "education_degree", "pr": "project", "te": "project_technology"}
+    every = " union all ".join(f"select raw_id, path from {n}" for n in tables)
+    inner = lambda k: f"case when {_filled(f'm->>{chr(39)}$.{k}{chr(39)}')} then m->>'$.{k}' end"
+    text = f"case json_type(m) when 'OBJECT' then coalesce({inner('text')},{inner('name')}) when 'ARRAY' then null else m->>'$' end"
+    rows = " union all ".join(f"select raw_id, '{t}' child_table, pk parent_key, path, place::int ordinal, {text} as text from {n}" for n, t in tables.items())
     body = """case when json_type(j,'$.resume')='VARCHAR' then case when json_valid(j->>'$.resume') then (j->>'$.resume')::json end
  when json_type(j,'$.resume')='OBJECT' then json_extract(j,'$.resume') when json_type(j,'$.result.data.resume.sections')='OBJECT' then json_extract(j,'$.result.data.resume.sections') else j end"""
-    p7 = f"""with r as (select raw_id, payload::json j from resume_raw where json_valid(payload)), b as (select raw_id, '' path, {body} m from r where json_type(j)='OBJECT'), {", ".join(levels)} {every}"""
-    return {"p7_found": p7}
+    head = f"""with r as (select raw_id, payload::json j from resume_raw where json_valid(payload)), b as (select raw_id, '' path, {body} m from r where json_type(j)='OBJECT'), {", ".join(levels)}"""
+    return {"p7_found": f"{head} {every}", "p7_tables": f"{head} {rows}"}

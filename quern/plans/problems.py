@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.operators.intervals import employment_periods
-from quern.operators.nested import child_paths, merged_schema, parse_records
+from quern.operators.nested import child_paths, child_rows, merged_schema
 from quern.operators.timestamps import normalise_dates
 from quern.sources.tables import table
 
@@ -29,10 +30,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child_paths(table(spark, sf_dir, "resume_raw"))
 
 
+def p7_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all child tables: table, key of the parent, own key, place and text."""
+    return child_rows(table(spark, sf_dir, "resume_raw")).withColumnRenamed("at", "child_table")
+
+
 def p7_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema merged over all readable payloads."""
-    return merged_schema(parse_records(table(spark, sf_dir, "resume_raw"), "raw_id", "payload"))
+    """The schema merged over all readable payloads: every path with the kinds of its values."""
+    return merged_schema(table(spark, sf_dir, "resume_raw"), "payload").select(F.array_join("path", ".").alias("path"), "kind")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_schema": p7_schema}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_tables": p7_tables, "p7_schema": p7_schema}

@@ -27,11 +27,22 @@ def test_broken_and_empty(spark):
 
 
 def test_tables_hold_the_same_rows(spark):
-    records = N.parse_records(frame(spark, [json.dumps(BODY)] * 2), "raw_id", "payload")
-    tables = N.child_tables(records, "raw_id")
+    tables = N.child_tables(frame(spark, [json.dumps(BODY)] * 2), "raw_id")
     assert set(tables) == {"experience", "experience_responsibility", "experience_project", "experience_project_technology", "education", "education_degree", "project", "project_technology"}
-    keys = sorted(r.row_key for t in tables.values() for r in t.collect())
-    assert keys == sorted(list(WANT) * 2)
-    tech = tables["experience_project_technology"].first()
+    rows = {n: t.collect() for n, t in tables.items()}
+    assert sorted(r.path for t in rows.values() for r in t) == sorted(list(WANT) * 2)
+    tech = rows["experience_project_technology"][0]
     assert (tech.parent_key, tech.ordinal, tech.text) == ("experience/1/project/0", 0, "Spark")
-    assert N.merged_schema(records).first().merged_schema.startswith("OBJECT<")
+    keys = {(r.raw_id, r.path) for t in rows.values() for r in t}
+    assert all(not r.parent_key or (r.raw_id, r.parent_key) in keys for t in rows.values() for r in t)
+
+
+def test_schema_and_levels_are_found(spark):
+    odd = {"Doc-Root": {"in it's": {"Experience_s": {"RESPONSIBILITIES": "x"}, "projects": [{"technology used": ["a", {"name": "b"}]}]}}}
+    df = frame(spark, [json.dumps(BODY), json.dumps({"resume": json.dumps(BODY)}), json.dumps(odd), "{"])
+    schema = {(tuple(r.path), r.kind) for r in N.merged_schema(df, "payload").collect()}
+    assert {(("experience",), "array"), (("experience", "[]", "projects", "technologiesUsed"), "text"), (("resume", "{text}", "education", "degree"), "array"), (("Doc-Root", "in it's"), "object")} <= schema
+    places, levels = N.found_levels([p for p, _ in schema])
+    assert set(places) == {(), ("resume", "{text}"), ("Doc-Root", "in it's")} and levels[0].keys == ("experience", "Experience_s")
+    got = {r.path for r in N.child_paths(df).where("raw_id = 2").collect()}
+    assert got == {"experience/0", "experience/0/responsibility/0", "project/0", "project/0/technology/0", "project/0/technology/1"}
