@@ -103,8 +103,8 @@ def query_window(c: Column, size: int = 15000, lead: int = 50) -> Column:
     return F.when(F.length(c) <= size, c).when(first.isNotNull(), F.trim(F.regexp_replace(part, r" [^ ]*$", ""))).otherwise(F.substring(c, 1, size))
 
 
-def page_text(html: Column) -> Column:
-    """Readable text of an HTML page: scripts, styles, comments and tags go, blanks are squeezed."""
+def _visible(html: Column) -> Column:
+    """Readable text of HTML: scripts, styles, comments and tags go, blanks are squeezed."""
     c = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
     c = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
@@ -112,6 +112,29 @@ def page_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " "))
 
 
+# Attributes of the elements that hold the wanted text of a page, in order.
+CONTAINERS = (
+    ("id", "job-details"), ("class", "jobs-description__content"), ("class", "jobs-search__job-details--container"), ("class", "job-view-layout"), ("class", "job-description"),
+    ("id", "jobDescriptionText"), ("class", "jobDescriptionContent"), ("data-testid", "job-description"),
+)
+
+
+def page_text(html: Column, least: int = 50) -> Column:
+    """Readable text of an HTML page (S12): of the first container that holds more than `least` characters, else of the body.
+
+    A container is a section or div of a known name, read up to the next
+    element of that tag or its end; null stays null, a page without text gives ''.
+    """
+    inside = []
+    for attribute, name in CONTAINERS:
+        word = rf"(?:[^\"'>]*\s)?{name}(?:\s[^\"'>]*)?" if attribute == "class" else name
+        found = F.regexp_extract(html, rf"(?is)<(div|section|article|main)\b[^>]*\b{attribute}=[\"']{word}[\"'][^>]*>(.*?)</\1>", 2)
+        text = _visible(found)
+        inside.append(F.when(F.length(text) > least, text))
+    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
+    return F.coalesce(*inside, F.nullif(_visible(body), F.lit("")), _visible(html))
+
+
 def readability(text: Column, jobs: Column) -> Column:
     """Reading ease in 0..1 from words, vowels and sentence marks; jobs counts as sentences begun."""
     words = word_count(text)

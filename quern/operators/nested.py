@@ -180,9 +180,9 @@ def parse_records(raw: DataFrame, id_col: str, payload: str, places: list[tuple[
     rows = raw.select(id_col, F.try_parse_json(F.col(payload)).alias("_v")).where(F.col("_v").isNotNull())
     if not places or not keys:
         return rows.select(id_col, F.col("_v").alias("body")).where(F.lit(False))
-    spots = [_get(F.col("_v"), p) for p in places]
-    good = F.coalesce(*[F.when(_member(s, keys).isNotNull(), s) for s in spots])
-    return rows.select(id_col, good.alias("body")).where(F.col("body").isNotNull())
+    rows = rows.withColumn("_spots", F.array_compact(F.array(*[_get(F.col("_v"), p) for p in places])))  # each place is read once
+    good = F.filter("_spots", lambda s: _member(s, keys).isNotNull())
+    return rows.select(id_col, F.try_element_at(good, F.lit(1)).alias("body")).where(F.col("body").isNotNull())
 
 
 CHILD = "at string, parent_key string, path string, ordinal int, text string"

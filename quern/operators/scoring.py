@@ -150,22 +150,25 @@ def reports(scores: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.to_json(record, {"ignoreNullFields": "false"}).alias("report"))
 
 
-# Limits at which the older features are full.
+# Limits at which the older features are full; the others are in 0..1.
 LEGACY_CAPS = {"total_experience_months": 240.0, "num_positions": 10.0, "avg_tenure_months": 60.0, "max_seniority_score": 5.0, "num_degrees": 3.0, "highest_degree_level": 5.0, "num_institutions": 3.0, "total_canonical_skills": 30.0, "category_diversity": 10.0, "num_projects": 10.0, "avg_technologies_per_project": 10.0, "num_certifications": 10.0, "num_unique_issuers": 5.0, "summary_embedding_norm": 1.5, "skills_text_embedding_norm": 1.5}
 
 
-def legacy_normalised(features: DataFrame, names: list[str]) -> list[Column]:
-    """Older features in 0..1 (L11); the share of unmatched skills is inverted."""
-    out = []
+def legacy_normalised(names: list[str]) -> dict[str, Column]:
+    """Older features in 0..1 (L11); the share of unmatched skills is inverted, the consistency goes from -1..1 to 0..1."""
+    out = {}
     for n in names:
-        v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(n) / F.lit(LEGACY_CAPS.get(n, 1.0))))
-        out.append((1 - v if n == "unmatched_skill_ratio" else v).alias(n))
+        v = (F.col(n) + 1) / 2 if n == "summary_skills_semantic_consistency" else F.col(n) / F.lit(LEGACY_CAPS.get(n, 1.0))
+        v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+        out[n] = 1 - v if n == "unmatched_skill_ratio" else v
     return out
 
 
 def heuristic_score(features: DataFrame, keys: list[str], names: list[str], similarity: str) -> DataFrame:
-    """(keys.., score): .6 of the similarity in 0..1 and .4 shared evenly by the older features, each to 4 decimals."""
-    norm = features.select(*keys, similarity, *legacy_normalised(features, names))
-    sem = half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(similarity) + 1) / 2)) * 0.6, 4)
-    rest = reduce(lambda a, b: a + b, [half_up(F.col(n) * (0.4 / max(1, len(names))), 4) for n in names], F.lit(0.0))
-    return norm.select(*keys, half_up(sem + rest, 4).alias("score"))
+    """(keys.., score, the contributions): .6 of the similarity in 0..1 and .4 shared evenly by the older features, each to 4 decimals."""
+    exact = lambda c: half_up(half_up(c, 9), 4)
+    near = exact(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(similarity) + 1) / 2)) * 0.6)
+    parts = {n: exact(v * (0.4 / max(1, len(names)))) for n, v in legacy_normalised(names).items()}
+    return features.select(*keys, near.alias("retrieval_similarity"), *[v.alias(n) for n, v in parts.items()]).withColumn(
+        "score", exact(reduce(lambda a, b: a + b, [F.col(n) for n in ("retrieval_similarity", *names)]))
+    )

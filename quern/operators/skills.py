@@ -101,6 +101,19 @@ def extract(text_hits: DataFrame, raw: DataFrame, first: DataFrame, p: DataFrame
     return best.select("id", "canonical", "b.category", "b.confidence", "b.method")
 
 
+def names_within(texts: DataFrame, names: DataFrame, q: int = 3) -> DataFrame:
+    """(id, name) of the names (name) that a text (id, text) holds as substrings, inside words too.
+
+    A name lies only in texts that hold its first q characters, so texts and
+    names meet by these and are then compared. Null and empty names are in no
+    text.
+    """
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    held = texts.where(F.length("text") > 0).select("id", "text", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, q + 1)]))).alias("gram"))
+    keyed = names.where(F.length("name") > 0).select("name", F.substring("name", 1, q).alias("gram")).distinct()
+    return held.join(keyed, "gram").where(F.contains("text", F.col("name"))).select("id", "name")
+
+
 def primary_domain(skills: DataFrame) -> DataFrame:
     """(id, domain, share): the category with the largest sum of confidences, ties to the smaller name."""
     sums = skills.groupBy("id", "category").agg(F.sum("confidence").alias("s"))

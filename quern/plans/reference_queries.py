@@ -16,18 +16,14 @@ from quern.operators import retrieval as R
 from quern.operators import scoring as S
 from quern.operators import sections as X
 from quern.operators import skills as K
+from quern.operators import statistics as ST
 from quern.session import durable
+from quern.sources import records
 from quern.sources.tables import table
+from quern.streaming import arrivals
 
 #: The query text of the feature queries that take one.
 QUERY = "Senior payroll analyst for a data team: bachelor in finance or statistics, SQL and Python, experience with audits. Docker is welcome."
-PAGES = [
-    (1, "<html><head><style>p{}</style><script>var a='<b>';</script></head><body><!-- x --><p>Senior&nbsp;Engineer</p>\n<p>R&amp;D &lt;team&gt;</p></body></html>"),
-    (2, "plain text"),
-    (3, ""),
-]
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a number of decimals, so that results don't depend on the order of sums."""
     return df.select(*[T.half_up(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -256,6 +252,33 @@ def s1_json_decode(spark, sf):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k long")["k"]).alias("total_k"))
 
 
+def s1_requests(spark, sf):
+    """Requests written as JSON for every score row, a broken one for every seventh, and decoded."""
+    c = table(spark, sf, "cpp_score").join(resumes(spark, sf), F.col("doc_id") == F.col("id"), "left")
+    made = F.to_json(F.struct(F.col("text").alias("resume_text"), F.lit(QUERY).alias("jd_text"), "resume_embedding"))
+    raw = c.select(F.when(F.col("score_id") % 7 == 0, F.substring(made, 1, 9)).otherwise(made).alias("json"))
+    r = records.requests(raw, "json")
+    return r.groupBy(F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.sum(F.length("resume_text")).alias("chars"), F.sum(F.size("jd_embedding")).alias("n_jd"))
+
+
+def s5_taxonomy(spark, sf):
+    """A taxonomy file that isn't there, so that the table stands in."""
+    t = records.taxonomy(spark, f"{sf}/no_such_taxonomy.json", taxonomy(spark, sf))
+    return t.select("ord", "canonical", "category", F.size(F.coalesce("aliases", F.array().cast("array<string>"))).alias("n_aliases"))
+
+
+def st_percentiles(spark, sf):
+    """Median, 95th and 99th percentile of event values by type, by place in order."""
+    e = table(spark, sf, "events")
+    return rounded(ST.percentiles(e, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"]))
+
+
+def st_arrivals(spark, sf):
+    """Deliveries of each contact by day, as the stream of arrivals counts them."""
+    found = arrivals.latest_per_window(table(spark, sf, "contact").where(F.col("received_at").isNotNull()), "doc_id")
+    return found.select("doc_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", F.unix_timestamp("last_at").alias("last_second"))
+
+
 def s4_reject_empty(spark, sf):
     d = table(spark, sf, "documents")
     bad = F.when(F.col("text").isNull(), "missing").when(F.trim("text") == "", "empty").otherwise("ok")
@@ -285,8 +308,12 @@ def s10_clean_text(spark, sf):
 
 
 def s12_page_text(spark, sf):
-    p = spark.createDataFrame(PAGES, "page_id int, html string")
-    return p.select("page_id", T.page_text(F.col("html")).alias("text"))
+    """Texts written out as pages, the text in a container of a known name on two of three, and read back."""
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    held = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<div id='job-details'>"), safe, F.lit("</div>"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('<section class="wide job-description">'), safe, F.lit("</section>"))).otherwise(safe)
+    html = F.concat(F.lit("<html><head><style>p{}</style><script>var a='<b>';</script></head><body><!-- x --><p>Menu&nbsp;bar</p>"), held, F.lit("<p>Foot</p></body></html>"))
+    return d.select("doc_id", F.md5(T.page_text(html)).alias("text_md5"))
 
 
 def s14_query_window(spark, sf):
@@ -298,9 +325,7 @@ def l9_vocabulary(spark, sf):
     """Taxonomy names that a résumé's bullets hold as substrings, by document."""
     t = taxonomy(spark, sf).where(F.col("entry_kind") == "skill").select(F.lower("canonical").alias("name")).distinct()
     text = jobs(spark, sf).groupBy("id").agg(F.lower(F.array_join(F.array_sort(F.collect_list(F.array_join(FE._bullets("bullets"), " "))), " ")).alias("text"))
-    small = t.count() <= 10_000  # only a list of a checked size is sent to every task
-    hits = text.join(F.broadcast(t) if small else t, F.contains("text", F.col("name")))
-    return hits.groupBy("id").agg(F.count("*").alias("n_skills"))
+    return K.names_within(text, t).groupBy("id").agg(F.count("*").alias("n_skills"))
 
 
 def l10_set_gap(spark, sf):
@@ -312,28 +337,36 @@ def l10_set_gap(spark, sf):
     return rows.select("id", "query_id", F.array_join(shared, "|").alias("matched"), F.size(F.array_except("need", "have")).alias("n_missing"), T.half_up(F.size(shared) / F.size("need"), 4).alias("ratio"))
 
 
-_LEGACY = ["num_positions", "is_currently_employed", "num_degrees", "highest_degree_level"]
+def m2_split(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return ml.stratified_split(e.select("vec_id", "label"), "label", "vec_id").groupBy("label", "part").agg(F.count("*").alias("n"))
 
 
-def l12_heuristic(spark, sf):
-    base = jobs(spark, sf).groupBy("id").agg(F.count("*").cast("double").alias("num_positions"), F.max(F.coalesce("is_current", F.lit(False)).cast("double")).alias("is_currently_employed"))
-    edu = schools(spark, sf).groupBy("id").agg(F.count("*").cast("double").alias("num_degrees"), (5 * F.max(T.ladder(F.col("degree"), L.DEGREES, 0.0))).alias("highest_degree_level"))
-    cos = table(spark, sf, "cpp_score").groupBy(F.col("doc_id").alias("id")).agg(F.max(R.cosine(F.col("resume_embedding"), F.col("jd_embedding"))).alias("similarity"))
-    rows = cos.join(base, "id", "left").join(edu, "id", "left").fillna(0.0)
-    return S.heuristic_score(rows, ["id"], _LEGACY, "similarity")
+def _model(spark, trees=20, depth=5, rows=2000):
+    parts = ml.stratified_split(durable(ml.synthetic_rows(spark, rows)), "label", "row")
+    return ml.fit_trees(parts.where("part = 'train'"), "label", ml.SCHEMA, trees, depth), parts.where("part = 'test'")
 
 
-def m2_split(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return ml.stratified_split(e.select("vec_id", "label"), "label", "vec_id").groupBy("label", "part").agg(F.count("*").alias("n"))
+def m1_synthetic(spark, sf):
+    rows = ml.synthetic_rows(spark)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), *[T.half_up(F.avg(c), 2).alias(c) for c in ("skill_coverage_ratio", "cosine_similarity", "num_promotions")])
 
 
 def m3_gbt(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
-    parts = ml.stratified_split(e, "y", "vec_id")
-    names = [f"f{i}" for i in range(8)]
-    model = ml.fit_trees(parts.where("part = 'train'"), "y", names, trees=10)
-    return model.transform(parts.where("part = 'test'")).select("vec_id", "y", F.col("prediction").cast("int").alias("predicted"))
+    """Area under the curve on held-out rows and the most important features of the boosted trees, with fewer trees than the default."""
+    model, test = _model(spark)
+    scored = ml.learned_score(test, model)
+    area = ml.auc(scored.withColumn("y", F.col("label")), "overall_score", "y").select(F.lit(0).alias("rank"), F.lit("auc").alias("feature"), F.col("auc").alias("importance"))
+    return area.unionByName(ml.importances(spark, model, ml.SCHEMA))
+
+
+def c9_learned(spark, sf):
+    """Pairs scored by the boosted trees on their feature rows."""
+    from quern.plans import pair_queries as PQ
+
+    model, _ = _model(spark)
+    rows = ml.learned_score(PQ.features(spark, sf).where(S.unusable() == ""), model)
+    return rows.select("id", "query_id", "overall_score", "ranking_method")
 
 
 def m4_auc(spark, sf):
@@ -354,8 +387,8 @@ _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     k1_k2_k3_normalizers, k4_k5_alias_precedence, k9_k10_similarity, k7_dictionary_scan, k8_longest_match, k11_fuzzy_best, k12_extract_skills, k13_primary_domain, k14_gap, k15_partial,
     k14_gap_tpch, f_skills_20, l6_corroboration, l8_domain_distribution, sec_lines, sec_headings, sec_sections, sec_preamble,
     f_experience_15, f_education_10, f_quality, c8_rank,
-    s1_json_decode, s4_reject_empty, s11_limits, s8_ocr_routing, s9_ocr_confidence, s10_clean_text, s12_page_text, s14_query_window, l9_vocabulary, l10_set_gap, l12_heuristic,
-    m2_split, m3_gbt, m4_auc, tenure_orders,
+    s1_json_decode, s4_reject_empty, s11_limits, s8_ocr_routing, s9_ocr_confidence, s10_clean_text, s12_page_text, s14_query_window, l9_vocabulary, l10_set_gap, s1_requests, s5_taxonomy, st_percentiles, st_arrivals,
+    m1_synthetic, m2_split, m3_gbt, c9_learned, m4_auc, tenure_orders,
 ]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quern import lexicon as L
-from quern.plans.reference_queries import PAGES, QUERY
+from quern.plans.reference_queries import QUERY
 
 _Q = "'"
 
@@ -229,19 +229,21 @@ def oracle_sql() -> dict[str, str]:
  {_up("case when wc<100 then 0.2 when wc<300 then 0.5 when wc<=2000 then 1 when wc<=2500 then 0.8 else 0.6 end")} resume_length_score, {_up("coalesce(dated,0.5)")} formatting_consistency, {_up("greatest(0,least(1,(206.835-1.015*(wc::double/sen)-84.6*(vow::double/greatest(1,wc)))/100))")} readability_score from w""",
         "c8_rank": "select jd_id, doc_id, overall_score, rank::int as rank from (select *, rank() over(partition by jd_id order by overall_score desc) as rank from (select jd_id, doc_id, max(overall_score) overall_score from cpp_score where overall_score is not null group by all)) where rank<=10",
         "s11_limits": "select case when octet_length(encode(text))>2097152 then 'file' when length(text)>15000 then 'text' else 'fits' end as over, count(*) n, max(length(text))::int longest from documents where text is not null group by 1",
+        "s12_page_text": "select doc_id, md5(case when doc_id%3<2 and length(t)>50 then t else b end) text_md5 from (select doc_id, trim(regexp_replace(text,'[ \\t\\n\\r]+',' ','g'),' ') t, trim(regexp_replace('Menu bar '||text||' Foot','[ \\t\\n\\r]+',' ','g'),' ') b from documents where text is not null)",
+        "s1_requests": f"""select case when score_id%7=0 then 'unreadable request' when coalesce(full_text,'')='' then 'resume_text is empty' else '' end error, count(*) n, sum(case when score_id%7=0 then 0 else length(coalesce(full_text,'')) end)::bigint chars, 0::bigint n_jd from cpp_score c left join text_extraction t using(doc_id) group by 1""",
+        "s5_taxonomy": "select entry_id ord, canonical_name canonical, category, coalesce(len(aliases),0)::int n_aliases from skill_taxonomy",
+        "st_percentiles": f"select event_type, count(value) n, {_up('avg(value)')} mean, {', '.join(_up(f'list_sort(list(value) filter (value is not null))[floor(count(value)*{p}::double)::int+1]') + f' p{int(p * 100)}' for p in (0.5, 0.95, 0.99))} from events group by event_type having count(value)>0",
+        "st_arrivals": "select doc_id, strftime(received_at,'%Y-%m-%d') as day, count(*) n, floor(epoch(max(received_at)))::bigint last_second from contact where received_at is not null group by 1,2",
         "s1_json_decode": "select event_type, count(*) n, sum((props->>'$.k')::bigint)::bigint total_k from events group by event_type",
         "s4_reject_empty": "select case when text is null then 'missing' when trim(text,' ')='' then 'empty' else 'ok' end status, count(*) n from documents group by 1",
         "s8_ocr_routing": "select doc_id, count(*) pages, count(*) filter (coalesce(length(text),0)<30) needs_ocr from (select distinct * from page_extraction) group by doc_id",
         "s9_ocr_confidence": "select doc_id, coalesce(floor((2*s+n)::double/nullif(2*n,0))/10000,1.0) confidence from (select doc_id, sum(floor(ocr_confidence*10000+0.5)) s, count(ocr_confidence) n from (select distinct * from page_extraction) group by doc_id)",
         "s10_clean_text": f"select doc_id, md5({clean}) clean_md5 from text_extraction",
-        "s12_page_text": "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,'(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>',' ','g'),'(?s)<!--.*?-->',' ','g'),'(?s)<[^>]*>',' ','g'),'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&amp;','&'),'[ \\t\\n\\r]+',' ','g'),' ') as text from (values " + ",".join(f"({i}::int,{_s(h)})" for i, h in PAGES) + ") p(page_id,html)",
         "s14_query_window": f"select doc_id, length({window})::int n_chars, md5({window}) text_md5 from documents where text is not null",
         "l9_vocabulary": f"with {_JOBS}, tx as (select id, lower(string_agg(array_to_string(b,' '),' ')) as text from jb group by id) select id, count(*) n_skills from tx join (select distinct lower(canonical_name) nm from skill_taxonomy where entry_kind='skill') on contains(text,nm) group by id",
         "l10_set_gap": f"with {_SKILLS}, {_GAP} select id, query_id, coalesce(string_agg(skill,'|' order by skill) filter (held),'') matched, (count(*) filter (not held))::int n_missing, {_up('count(*) filter (held)::double/count(*)', 4)} ratio from (select distinct id, query_id, skill, held from gp) group by id, query_id",
-        "l12_heuristic": f"""with {_JOBS}, {_SCHOOLS}, ba as (select id, count(*)::double np, max(coalesce(is_current,false)::int)::double ce from jb group by id), ed as (select id, count(*)::double nd, 5*max({_ladder("degree", L.DEGREES, 0.0)}) hl from sc group by id),
- cm as (select doc_id id, max({_cos("resume_embedding", "jd_embedding")}) s from cpp_score group by 1) select cm.id, {_up(_up("greatest(0,least(1,(s+1)/2))*0.6", 4) + "+" + "+".join(_up(x + "*0.1", 4) for x in (_cap("coalesce(np,0)", 10), _cap("coalesce(ce,0)", 1), _cap("coalesce(nd,0)", 3), _cap("coalesce(hl,0)", 5))), 4)} score from cm left join ba on ba.id=cm.id left join ed on ed.id=cm.id""",
         "m4_auc": f"with g as (select overall_score s, sum(jd_id%2) p, count(*) n from cpp_score where overall_score is not null group by 1), r as (select *, coalesce(sum(n) over(order by s rows between unbounded preceding and 1 preceding),0) b from g) select {_up('(sum(p*(b+(n+1)/2.0))-sum(p)*(sum(p)+1)/2.0)/nullif(sum(p)*sum(n-p),0)')} auc from r",
         "tenure_orders": "with o as (select o_custkey, o_orderkey, year(o_orderdate)*12+month(o_orderdate)-1 m from orders), g as (select *, m-lag(m) over(partition by o_custkey order by m, o_orderkey) gap from o) select o_custkey, count(*) n, max(coalesce(gap,0))::int max_gap, (max(m)-min(m))::int span from g group by 1",
-        "m2_split": None,
+        "m2_split": "select label, case when substr(md5(concat_ws('|',coalesce(vec_id::varchar,''),label::varchar)),1,8)<'cccccccc' then 'train' else 'test' end part, count(*) n from embeddings group by 1,2",
     }
     return {k: v for k, v in sql.items() if v}

@@ -21,6 +21,11 @@ def test_taxonomy_and_stage(spark, tmp_path):
     path.write_text(json.dumps({"version": "1", "skills": [{"canonical_name": "Python", "category": "PL", "aliases": ["py"]}, {"canonical_name": "C", "category": "PL"}]}, indent=1))
     t = records.taxonomy(spark, str(path))
     assert [(r.ord, r.canonical, r.aliases) for r in t.collect()] == [(0, "Python", ["py"]), (1, "C", None)]
+    assert [r.canonical for r in records.taxonomy(spark, f"{tmp_path}/none.json", t).collect()] == ["Python", "C"]
+    (tmp_path / "bad.json").write_text("{")
+    assert records.taxonomy(spark, str(tmp_path / "bad.json"), t).count() == 2
+    (tmp_path / "own.json").write_text(records.taxonomy_record(t).first().value)
+    assert [(r.canonical, r.aliases) for r in records.taxonomy(spark, str(tmp_path / "own.json")).collect()] == [("Python", ["py"]), ("C", None)]
     records.write_stage(t, str(tmp_path), "parsed", "parquet")
     assert spark.read.parquet(f"{tmp_path}/parsed").count() == 2
 
@@ -33,6 +38,18 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
 
 
+def test_windows_of_arrivals(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda d, h: dt.datetime(2024, 5, d, h)
+    rows = spark.createDataFrame([(1, day(1, 3)), (1, day(1, 9)), (1, day(2, 1)), (2, day(1, 4))], "doc_id long, received_at timestamp")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id long, received_at timestamp").parquet(f"{tmp_path}/in")
+    q = arrivals.latest_per_window(stream, "doc_id").writeStream.format("memory").queryName("arrived").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert sorted((r.doc_id, r.n, r.last_at.hour) for r in spark.table("arrived").collect()) == [(1, 1, 1), (1, 2, 9), (2, 1, 4)]
+
+
 def test_entry_without_the_subpackage(monkeypatch):
     import __spark_entry__ as e
 
