@@ -68,7 +68,7 @@ def document_rows(docs: DataFrame, parts: dict[str, DataFrame], taxonomy: DataFr
     p = K.patterns(taxonomy)
     first = K.first_writer(p)
     hits = K.longest_matches(K.scan(docs, "id", "text", first))
-    have = K.extract(hits, parts["skills"].select("id", "skill"), first, p)
+    have = durable(K.extract(hits, parts["skills"].select("id", "skill"), first, p))
     held = have.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "canonical", "category", "confidence", "method"))).alias("have"))
     domain = K.primary_domain(have).select("id", F.col("share").alias("domain_share"))
     listed = parts["skills"].groupBy("id").agg(F.count("*").alias("listed"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import fuzzy_key, scan_key, similarity
+from quern.functions.text import fuzzy_key, scan_key, scan_words, similarity
+from quern.sources.tables import balanced
 
 LONGEST = 4
 FUZZY = 0.82
@@ -38,7 +39,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, first: DataFrame) -> DataF
     Word n-grams meet the patterns in an equi-join, so a scan costs four probes
     a word at any number of patterns. Null texts have no hits.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.split(scan_key(F.col(text_col)), " ").alias("w")).where(F.size("w") > 0)
+    words = docs.select(F.col(id_col).alias("id"), scan_words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     grams = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.size("w")),
@@ -108,10 +109,12 @@ def names_within(texts: DataFrame, names: DataFrame, q: int = 3) -> DataFrame:
     names meet by these and are then compared. Null and empty names are in no
     text.
     """
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-    held = texts.where(F.length("text") > 0).select("id", "text", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, q + 1)]))).alias("gram"))
+    chars = balanced(texts, "id").where(F.length("text") > 0).select("id", F.split("text", "").alias("c"))
+    at = lambda i: F.coalesce(F.try_element_at("c", i), F.lit(""))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.concat(*[at(i + k) for k in range(n)]))
+    held = chars.select("id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, q + 1)]))).alias("gram"))
     keyed = names.where(F.length("name") > 0).select("name", F.substring("name", 1, q).alias("gram")).distinct()
-    return held.join(keyed, "gram").where(F.contains("text", F.col("name"))).select("id", "name")
+    return held.join(keyed, "gram").select("id", "name").join(texts.select("id", "text"), "id").where(F.contains("text", F.col("name"))).select("id", "name")
 
 
 def primary_domain(skills: DataFrame) -> DataFrame:

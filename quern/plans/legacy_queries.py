@@ -15,7 +15,7 @@ from quern.plans import pair_sql as PSQL
 from quern.plans import reference_queries as Q
 from quern.plans import reference_sql as SQL
 from quern.session import durable
-from quern.sources.tables import table
+from quern.sources.tables import balanced, table
 
 KEYS = ["id", "query_id"]
 
@@ -46,7 +46,7 @@ def _cascade_skills(spark, sf):
 
 
 def _legacy(spark, sf):
-    docs = PQ.document_texts(spark, sf)
+    docs = durable(balanced(PQ.document_texts(spark, sf), "id"))
     parts = X.parsed(docs, "id", "text")
     c = table(spark, sf, "cpp_score").groupBy(F.col("doc_id").alias("id")).agg(F.max_by(F.struct("resume_embedding", "jd_embedding"), F.struct("scored_at", "score_id")).alias("v"))
     vectors = c.select("id", F.col("v.resume_embedding").alias("summary"), F.col("v.jd_embedding").alias("skills"))

@@ -9,7 +9,8 @@ from quern.operators import pairs as P
 from quern.operators import scoring as S
 from quern.operators import sections as X
 from quern.plans import reference_queries as Q
-from quern.sources.tables import table
+from quern.session import durable
+from quern.sources.tables import balanced, table
 
 #: Ranks and further demands of query texts, by the remainder of the query's id.
 RANKS = ["Senior ", "Lead ", "Junior ", ""]
@@ -70,8 +71,8 @@ def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature row of every pair, written once for several readers."""
-    docs = document_texts(spark, sf)
+    """The feature row of every pair; texts and rows are written once for several readers."""
+    docs = durable(balanced(document_texts(spark, sf), "id"))
     parts = X.parsed(docs, "id", "text") | {"experience": Q.jobs(spark, sf), "education": Q.schools(spark, sf), "contact": contacts_latest(spark, sf)}
     return P.scored_pairs(scored_pairs(spark, sf), docs, query_texts(spark, sf), parts, Q.taxonomy(spark, sf))
 

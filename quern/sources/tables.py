@@ -18,3 +18,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all tasks by a key, for costly work on rows that are small: their number, not their size, counts.
+
+    The number of partitions is fixed, so that small ones aren't merged.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
