@@ -33,6 +33,8 @@ DIVIDERS = "-­‐‑¬"
 
 #: A word is known if it makes up this share of all words, so that at most 1 / SHARE words are known at any size.
 SHARE, LEAST = 1e-5, 8
+#: A label of figures has at least this share of all of them, so that at most 1 / LABEL_SHARE labels are known.
+LABEL_SHARE = 1e-4
 #: A known word replaces another one that is at least so many times rarer.
 RATIO = 5
 #: Pages whose confidence is at least this need twice the ratio.
@@ -134,6 +136,7 @@ class Model:
     _seen: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.longest = max(map(len, self.counts), default=0) + 4  # two edits shorten a word by four letters at most
         named = sorted(t for t in self.templates if "<n>" in t)
         if named:
             self.wild = re.compile("|".join(re.escape(t).replace("<n>", r"[^\W\d_]+") for t in named))
@@ -183,7 +186,7 @@ class Model:
         key = (word, ratio)
         options = self._seen.get(key)
         if options is None:
-            bare = not any(ch.isalpha() for ch in word) or len(word) > 40 or (len(word) <= 2 and word.isascii() and word.isalpha())
+            bare = not any(ch.isalpha() for ch in word) or len(word) > self.longest or (len(word) <= 2 and word.isascii() and word.isalpha())
             options = [] if bare else self.candidates(word, ratio)
             if len(self._seen) > 200_000:
                 self._seen.clear()
@@ -215,15 +218,6 @@ def _rewritten(low: str, word: str, edits: int) -> set[str]:
     return level - {low}
 
 
-def _body_words(line: str) -> list[str]:
-    out = []
-    for t in line.split():
-        a, b = _core(t)
-        if b > a:
-            out.append(t[a:b].lower())
-    return out
-
-
 def _furniture(lines: list[str], page: int, name: list[str], model: Model, own: list[str]) -> set[int]:
     """Line numbers (from 0) of running headers, footers and page numbers; own: templates that recur in the document."""
     filled = [i for i, x in enumerate(lines) if x.strip()]
@@ -231,8 +225,6 @@ def _furniture(lines: list[str], page: int, name: list[str], model: Model, own:
 
     def is_furniture(i: int) -> bool:
         text = lines[i].strip()
-        if len(text) > 90:
-            return False
         if re.fullmatch(r"[0-9loiIS|]{1,4}", text) and re.search(r"\d", text):
             digits = text.translate(str.maketrans("loiIS|", "101151"))
             k = filled.index(i)
@@ -249,14 +241,12 @@ def _furniture(lines: list[str], page: int, name: list[str], model: Model, own:
         return not title and (any(_close(t, x) for x in own) or model.is_masked(t))
 
     for order in (filled, filled[::-1]):
-        taken = 0
         for i in order:
             if i in found:
                 continue
-            if taken >= EDGE or not is_furniture(i):
+            if not is_furniture(i):
                 break
             found.add(i)
-            taken += 1
     if filled and page == 1 and filled[0] in found and not _LABEL_ALONE.fullmatch(lines[filled[0]].strip()):
         if re.fullmatch(r"(?:<n>\s*)+", template(lines[filled[0]], name)):
             found.discard(filled[0])  # the title line of the first page
@@ -270,19 +260,21 @@ class Page:
     text: str
 
 
-def repair(text: str, page: int, name: list[str], next_head: str | None, ocr: bool, confidence: float | None, model: Model, own: list[str]) -> Page:
-    """Defects of each line and the reflowed paragraphs of a page; next_head is the text of the page after it."""
+def first_of_body(text: str, page: int, name: list[str], model: Model, own: list[str]) -> str | None:
+    """The first line of a page that is no furniture, where a word divided by the page break goes on."""
+    lines = text.split("\n")
+    skip = _furniture(lines, page, name, model, own)
+    return next((x for k, x in enumerate(lines) if k not in skip and x.strip()), None)
+
+
+def repair(text: str, page: int, name: list[str], follow: str | None, ocr: bool, confidence: float | None, model: Model, own: list[str]) -> Page:
+    """Defects of each line and the reflowed paragraphs of a page; follow is the first line of the next page's body."""
     lines = text.split("\n")
     defects: list[set[str]] = [set() for _ in lines]
     furniture = _furniture(lines, page, name, model, own)
     for i in furniture:
         defects[i].add("furniture")
     body = [i for i in range(len(lines)) if i not in furniture and lines[i].strip()]
-    follow = None
-    if next_head:
-        rest = next_head.split("\n")
-        skip = _furniture(rest, page + 1, name, model, own)
-        follow = next((x for k, x in enumerate(rest) if k not in skip and x.strip()), None)
     ratio = RATIO * (2 if confidence is not None and confidence >= SURE else 1)
     fixed: dict[int, list[str]] = {}
     joins: dict[int, bool] = {}
@@ -421,12 +413,11 @@ def _pages(pages: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id", "page_number", "text").agg(F.max("used_ocr").alias("used_ocr"), F.min("ocr_confidence").alias("ocr_confidence"))
 
 
-def _with_neighbours(pages: DataFrame) -> DataFrame:
-    """Adds the first lines of the document's first page and the head of the next page, by equi-joins."""
-    heads = pages.select("doc_id", (F.col("page_number") - 1).alias("page_number"), F.substring_index("text", "\n", 12).alias("next_head"))
-    heads = heads.groupBy("doc_id", "page_number").agg(F.min("next_head").alias("next_head"))
-    names = pages.where("page_number = 1").groupBy("doc_id").agg(F.min(F.substring_index("text", "\n", 3)).alias("first_lines"))
-    return pages.join(heads, ["doc_id", "page_number"], "left").join(names, "doc_id", "left")
+def _with_titles(pages: DataFrame) -> DataFrame:
+    """Adds the first three filled lines of the document's first page, where its title line stands, by an equi-join."""
+    filled = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    names = pages.where("page_number = 1").groupBy("doc_id").agg(F.min(F.array_join(F.slice(filled, 1, 3), "\n")).alias("first_lines"))
+    return pages.join(names, "doc_id", "left")
 
 
 def _observed(known: DataFrame) -> DataFrame:
@@ -447,9 +438,7 @@ def _observed(known: DataFrame) -> DataFrame:
                 if not tokens:
                     previous = None
                     continue
-                short = len(x) <= 90
-                if short:
-                    edges.append({"t": template(x, name), "key": fold(x, name) if i in outer else None, "edge": i in outer, "top": i in top})
+                edges.append({"t": template(x, name), "key": fold(x, name) if i in outer else None, "edge": i in outer, "top": i in top})
                 if re.fullmatch(r"\d{1,4}", x.strip()) and previous:
                     labels.append({"l": previous, "odd": int(x) != p})
                 use = tokens[1:] if after_divided or not started else tokens
@@ -505,10 +494,11 @@ def _recurring(seen: DataFrame) -> DataFrame:
 
 
 def learn(known: DataFrame, seen: DataFrame, dim: int = 32) -> Model:
-    """The model of a corpus; known is the result of _with_neighbours, seen of _observed.
+    """The model of a corpus; known is the result of _with_titles, seen of _observed.
 
     What reaches the driver is bounded: known words by 1 / SHARE, templates
-    and labels by their least count of documents, vectors by the known words.
+    by their least count of documents, labels by 1 / LABEL_SHARE, vectors by the
+    known words.
     """
     counted = seen.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -529,7 +519,8 @@ def learn(known: DataFrame, seen: DataFrame, dim: int = 32) -> Model:
     templates = {r.t for r in frequent.select("t").collect()}
     figures = seen.select(F.explode("labels").alias("x")).groupBy("x.l").agg(F.count_if("x.odd").alias("odd"), F.count("*").alias("n"))
     masked = _masked_templates(seen.select("doc_id", "page_number", F.explode("edges").alias("e")).select("doc_id", "page_number", "e.*"), max(4, n_docs * 0.004))
-    labels = {r.l for r in figures.where((F.col("odd") >= 3) & (F.col("odd") >= 0.5 * F.col("n"))).collect()}
+    n_labels = figures.agg(F.sum("n")).first()[0] or 0
+    labels = {r.l for r in figures.where((F.col("odd") >= max(3, n_labels * LABEL_SHARE)) & (F.col("odd") >= 0.5 * F.col("n"))).collect()}
     vectors = _vectors(seen, least, dim) if counts else {}
     return Model(counts, templates, labels, vectors, masked)
 
@@ -539,7 +530,7 @@ def _vectors(seen: DataFrame, least: int, dim: int) -> dict[str, np.ndarray]:
     from pyspark.ml.feature import Word2Vec
 
     parts = max(1, seen.rdd.getNumPartitions())
-    model = Word2Vec(vectorSize=dim, windowSize=3, minCount=least, maxIter=1, numPartitions=min(parts, 8), seed=7, inputCol="words", outputCol="v", maxSentenceLength=200)
+    model = Word2Vec(vectorSize=dim, windowSize=3, minCount=least, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200)
     rows = model.fit(seen.select("words")).getVectors().collect()
     out = {}
     for r in rows:
@@ -551,18 +542,27 @@ def _vectors(seen: DataFrame, least: int, dim: int) -> dict[str, np.ndarray]:
 
 def _repaired(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, defects array<struct<line_no,defect>>, text) of every page."""
-    known = durable(_with_neighbours(_pages(pages)))
+    known = durable(_with_titles(_pages(pages)))
     seen = _observed(known)
     shared = pages.sparkSession.sparkContext.broadcast(learn(known, seen))
     known = known.join(_recurring(seen), "doc_id", "left")
 
+    def heads(batches):
+        model = shared.value
+        for batch in batches:
+            first = [first_of_body(t, int(p), name_words(fl), model, [] if own is None else list(own)) for p, t, fl, own in zip(batch.page_number, batch.text, batch.first_lines, batch.own, strict=True)]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "page_number": batch.page_number - 1, "follow": pd.Series(first, dtype=object, index=batch.index)})
+
+    first = known.where(F.col("page_number") > 1).select("doc_id", "page_number", "text", "first_lines", "own").mapInPandas(heads, "doc_id long, page_number int, follow string")
+    known = known.join(first.groupBy("doc_id", "page_number").agg(F.min("follow").alias("follow")), ["doc_id", "page_number"], "left")
+
     def run(batches):
         model = shared.value
         for batch in batches:
             out = []
-            for d, p, t, o, c, nh, fl, own in zip(batch.doc_id, batch.page_number, batch.text, batch.used_ocr, batch.ocr_confidence, batch.next_head, batch.first_lines, batch.own, strict=True):
+            for d, p, t, o, c, follow, fl, own in zip(batch.doc_id, batch.page_number, batch.text, batch.used_ocr, batch.ocr_confidence, batch.follow, batch.first_lines, batch.own, strict=True):
                 conf = None if c is None or c != c else float(c)
-                got = repair(t, int(p), name_words(fl), nh, bool(o), conf, model, [] if own is None else list(own))
+                got = repair(t, int(p), name_words(fl), follow, bool(o), conf, model, [] if own is None else list(own))
                 out.append((d, p, [{"line_no": i + 1, "defect": x} for i, s in enumerate(got.defects) for x in sorted(s)], got.text))
             yield pd.DataFrame(out, columns=["doc_id", "page_number", "defects", "text"])
 
