@@ -6,6 +6,12 @@ unit: inside brackets or a numbered claim a mark ends nothing. Events of many
 texts, and of the chunks of long ones, run side by side: each chunk is folded
 into a function from entry state to exit state, the functions are composed by
 a parallel prefix scan, and a second pass emits the boundaries.
+
+Reading the rules has a state of its own, the number of the last claim, since
+a claim's number must go on from it; a paragraph break resets all else. A long
+text is cut at paragraph breaks, every piece is read on its own into a
+function from entry number to exit number and events, and the functions are
+composed by the same prefix scan, so that results don't depend on the cuts.
 """
 
 from __future__ import annotations
@@ -73,7 +79,18 @@ _NEXT = np.array(
 _EMITS = np.zeros((7, N_STATES), dtype=bool)
 _EMITS[SOFT, 0] = _EMITS[SOFT_CLOSE, 0] = _EMITS[SOFT_CLOSE, 1] = True
 _EMITS[HARD] = _EMITS[HARD_CLAIM] = True
-CHUNK = 64
+#: Events of one chunk of the scan; characters of one piece of a long text; numbers that a claim can have.
+CHUNK, PIECE, NUMBERS = 64, 32_768, 1000
+
+
+def compose(functions: np.ndarray) -> np.ndarray:
+    """Row i: the composition of the functions 0..i, each a row of images, in about log2 of their number rounds."""
+    step, m = 1, len(functions)
+    while step < m:  # after each round row i is the composition of up to 2 * step functions that end at i
+        later = functions[step:]
+        functions = np.concatenate([functions[:step], np.take_along_axis(later, functions[:-step].astype(np.intp), axis=1)])
+        step *= 2
+    return functions
 
 
 def entry_states(classes: np.ndarray) -> np.ndarray:
@@ -88,11 +105,7 @@ def entry_states(classes: np.ndarray) -> np.ndarray:
     fold = np.tile(np.arange(N_STATES, dtype=np.uint8), (m, 1))
     for j in range(CHUNK):
         fold = _NEXT[rows[:, j, None], fold]
-    step = 1
-    while step < m:  # after each round fold[i] is the composition of up to 2 * step chunks that end at i
-        later = fold[step:]
-        fold = np.concatenate([fold[:step], np.take_along_axis(later, fold[:-step].astype(np.intp), axis=1)])
-        step *= 2
+    fold = compose(fold)
     state = np.concatenate([np.zeros(1, dtype=np.uint8), fold[:-1, 0]])
     out = np.empty((m, CHUNK), dtype=np.uint8)
     for j in range(CHUNK):
@@ -153,12 +166,18 @@ def _next(text: str, at: int) -> str:
     return text[at] if at < len(text) else " "
 
 
-def events(text: str) -> tuple[list[int], list[int]]:
-    """(classes, positions): the position is the end of the unit that an event may close."""
+def _events(text: str, claim: int = 0) -> tuple[list[int], list[int], int | None, list[int]]:
+    """(classes, positions, last claim in it, numbers) of a text that starts a paragraph; claim: number of the last claim before it.
+
+    The position is the end of the unit that an event may close. numbers are
+    those that the entry claim decided on, up to the first that was taken.
+    """
     classes: list[int] = []
     at: list[int] = []
     n = len(text)
-    soft_end = hard_end = resume = claim = 0  # where the last mark and the last forced boundary end; last claim number
+    soft_end = hard_end = resume = 0  # where the last mark and the last forced boundary end
+    asked: list[int] = []
+    own = False  # whether the last claim stands in this text
 
     def back(p: int) -> int:
         while p > 0 and text[p - 1].isspace():
@@ -167,7 +186,7 @@ def events(text: str) -> tuple[list[int], list[int]]:
 
     def line_start(p: int) -> None:
         """Events at the start of the line at p."""
-        nonlocal hard_end, resume, claim
+        nonlocal hard_end, resume, claim, own
         if "a" <= text[p : p + 1] <= "z":
             return
         stop = text.find("\n", p)
@@ -191,9 +210,11 @@ def events(text: str) -> tuple[list[int], list[int]]:
             k, before = int(m.group("num")), back(p)
             blank = before == 0 or hard_end >= before or text.count("\n", before, p) > 1
             ended = before > 0 and text[before - 1] in ".!?。．;；:：।"
+            if not own:
+                asked.append(k)
             if not ((blank and (k == 1 or not claim or k > claim)) or (claim and claim < k <= claim + 3 and ended)):
                 return
-            claim = k
+            claim, own = k, True
         classes.append(HARD_CLAIM)
         at.append(back(p))
         hard_end = resume = m.end()
@@ -256,6 +277,55 @@ def events(text: str) -> tuple[list[int], list[int]]:
             at.append(s)
     classes.append(HARD)
     at.append(back(n))
+    return classes, at, claim if own else None, asked
+
+
+def pieces(text: str, size: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a text, cut at the first paragraph break from `size` characters on."""
+    cuts, at = [0], 0
+    while len(text) - at > size and (m := _PARA.search(text, at + size)):
+        at = m.end()
+        if at < len(text):
+            cuts.append(at)
+    return list(zip(cuts, [*cuts[1:], len(text)], strict=True))
+
+
+def _read(text: str) -> tuple[np.ndarray, dict[int, tuple[list[int], list[int]]], np.ndarray]:
+    """(exit number of each entry number, events by case, case of each entry number) of one piece.
+
+    The entry number only decides which of the piece's numbers is the first
+    claim, so that numbers with the same decisions are one case.
+    """
+    exits, case = np.zeros(NUMBERS, dtype=np.int64), np.full(NUMBERS, -1, dtype=np.int64)
+    known: dict[int, tuple[list[int], list[int]]] = {}
+    entry = np.arange(NUMBERS)
+    while (left := np.flatnonzero(case < 0)).size:
+        c = int(left[0])
+        classes, at, out, asked = _events(text, c)
+        known[c] = (classes, at)
+        same = (case < 0) & (entry == c if c == 0 else entry > 0)
+        for k in asked:  # the decision on a number depends on whether it lies above the entry number, and by how much
+            same &= ((entry < k) == (c < k)) & ((entry + 3 >= k) == (c + 3 >= k))
+        case[same] = c
+        exits[same] = entry[same] if out is None else out
+    return exits, known, case
+
+
+def events(text: str, size: int | None = None) -> tuple[list[int], list[int]]:
+    """(classes, positions) of a text, read in pieces of about `size` characters."""
+    parts = pieces(text, size or PIECE)
+    if len(parts) == 1:
+        return _events(text)[:2]
+    read = [_read(text[a:b]) for a, b in parts]
+    after = compose(np.stack([exits for exits, _, _ in read]))
+    entry = [0, *after[:-1, 0].tolist()]
+    classes: list[int] = []
+    at: list[int] = []
+    for (a, _), (_, known, case), e in zip(parts, read, entry, strict=True):
+        c, p = known[int(case[e])]
+        classes += c
+        before = at[-1] if at else 0  # a boundary at the start of a piece lies at the end of the one before
+        at += [x + a if x else before for x in p]
     return classes, at
 
 

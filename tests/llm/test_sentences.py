@@ -50,3 +50,20 @@ def test_table(spark):
     assert sum(r.doc_id == 5 for r in rows) == 20_000 and max(r.end_char for r in rows) == len(long.rstrip())
     assert {r.doc_id for r in rows} == {1, 5}
     assert S.sentence_units(df.where(F.lit(False))).count() == 0
+
+
+def test_pieces_of_a_long_text_compose():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(9)
+    blocks = ["ABSTRACT", "A valve, cf. Fig. 3, opens. It closes (at 20.5 bar).", "1. A device comprising\na) a rod; and\nb) a plate.", "2. The device of claim 1, wherein it turns.", "3. The device of claim 2.\n4. A kit.", "12. No claim here", "1. Anew, a method.", "[0007] The rod is long. It bends", "阀门打开。关闭。", "7. The device of claim 2."]
+    for n in (1, 3, 12, 60):
+        for _ in range(40):
+            text = "\n\n".join(rng.choice(blocks) for _ in range(n)) + rng.choice(["", "\n\n", " \n \n"])
+            whole = S._events(text)[:2]
+            for size in (1, 20, 90, 1000):
+                got = S.events(text, size)
+                e = [np.array(x[1])[S._EMITS[np.array(x[0], np.uint8), S.entry_states(np.array(x[0], np.uint8))]] for x in (whole, got)]
+                assert sorted(set(e[0].tolist()) - {0}) == sorted(set(e[1].tolist()) - {0})
