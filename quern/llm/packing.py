@@ -62,6 +62,10 @@ class TokenCounter:
         return total
 
 
+#: Key of containers that take documents of any language.
+ANY = "*"
+
+
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, lang, n_tokens) of every text that is neither null nor empty, measured whole."""
 
@@ -120,14 +124,15 @@ def fill_containers(documents: DataFrame, specs: DataFrame, path: str | None = N
     a positive capacity give no rows; documents listed twice are filled twice.
     """
     counted = durable(token_counts(documents, path).select("doc_id", language(F.col("lang")).alias("lang"), "n_tokens"))
-    usable = specs.where(F.col("capacity_tokens") > 0).select("spec_id", "capacity_tokens", language(F.col("lang")).alias("spec_lang"))
-    pieces = counted.crossJoin(F.broadcast(usable.limit(1000)) if usable.count() <= 1000 else usable).where(  # a stated set of containers against all rows
-        F.col("spec_lang").isNull() | (F.col("spec_lang") == F.col("lang"))
-    )
+    salts = 16  # a language, or the documents of any, may be a third of all rows or more
+    usable = specs.where(F.col("capacity_tokens") > 0).select("spec_id", "capacity_tokens", F.coalesce(language(F.col("lang")), F.lit(ANY)).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    keys = F.array_compact(F.array(F.lit(ANY), "lang"))
+    wanted = counted.select("doc_id", "n_tokens", F.explode(keys).alias("_key"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"))
+    pieces = wanted.join(usable, ["_key", "_salt"])
     cap, n = F.col("capacity_tokens"), F.col("n_tokens")
     pieces = pieces.select("spec_id", "capacity_tokens", "doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0), n - 1, cap)).alias("piece_no", "first_token"))
     pieces = pieces.select("spec_id", "capacity_tokens", "doc_id", "piece_no", "first_token", F.least(cap, n - F.col("first_token")).alias("n_tokens"))
-    groups = F.broadcast(pieces.groupBy("spec_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group)).cast("long").alias("groups")))  # a row per spec
+    groups = pieces.groupBy("spec_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group)).cast("long").alias("groups"))
     grouped = pieces.join(groups, "spec_id").withColumn("grp", F.pmod(F.xxhash64(F.lit(17), "spec_id", "doc_id", "piece_no"), F.col("groups")))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
