@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,6 +92,16 @@ def ladder(c: Column, steps: list[tuple[list[str], float]], default: float) -> C
     return out.otherwise(F.lit(default))
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility form of a text, for which there is no built-in function; in Arrow batches. Null stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], dtype=object)
+
+    return run(c)
+
+
 def clean_text(c: Column) -> Column:
     """Bullets to -, runs of blanks to one space, of line breaks to two, no outer white space (S10 without NFKC)."""
     c = F.regexp_replace(c, "[•●▪◦·]", "-")

@@ -12,13 +12,16 @@ no nor so yet both either neither more most other some such only than too very j
 
 # Weights of known terms; any other term weighs DEFAULT_IDF.
 IDF = {
-    8.5: "kubernetes terraform dvc langchain faiss dbt", 8.0: "graphql grpc mlflow rag databricks", 7.8: "elasticsearch cassandra snowflake",
-    7.5: "kafka airflow fastapi xgboost llm rust scala redshift", 7.2: "spark", 7.0: "pytorch golang", 6.8: "tensorflow",
-    6.5: "flask django typescript opencv microservices", 6.0: "postgresql mongodb redis scikit cicd",
-    5.5: "docker aws gcp azure mysql react nodejs bash numpy pandas restful fullstack distributed scalable",
-    5.0: "python java javascript linux backend frontend", 4.5: "sql git", 4.0: "api architect machine learning deep",
-    3.5: "engineer developer manager analyst lead data", 3.0: "senior junior software system", 2.5: "experience knowledge team",
-    2.0: "skills strong excellent work", 1.5: "good",
+    "kubernetes": 8.5, "terraform": 8.5, "dvc": 8.5, "langchain": 8.5, "faiss": 8.5, "dbt": 8.5, "graphql": 8.0, "grpc": 8.0, "mlflow": 8.0,
+    "rag": 8.0, "databricks": 8.0, "elasticsearch": 7.8, "cassandra": 7.8, "snowflake": 7.8, "kafka": 7.5, "airflow": 7.5, "fastapi": 7.5,
+    "xgboost": 7.5, "llm": 7.5, "rust": 7.5, "scala": 7.5, "redshift": 7.5, "spark": 7.2, "pytorch": 7.0, "golang": 7.0, "tensorflow": 6.8,
+    "flask": 6.5, "django": 6.5, "typescript": 6.5, "opencv": 6.5, "microservices": 6.5, "postgresql": 6.0, "mongodb": 6.0, "redis": 6.0,
+    "scikit": 6.0, "cicd": 6.0, "docker": 5.5, "aws": 5.5, "gcp": 5.5, "azure": 5.5, "mysql": 5.5, "react": 5.5, "nodejs": 5.5, "bash": 5.5,
+    "numpy": 5.5, "pandas": 5.5, "restful": 5.5, "fullstack": 5.5, "distributed": 5.5, "scalable": 5.5, "python": 5.0, "java": 5.0,
+    "javascript": 5.0, "linux": 5.0, "backend": 5.0, "frontend": 5.0, "sql": 4.5, "git": 4.5, "api": 4.0, "architect": 4.0, "machine": 4.0,
+    "learning": 4.0, "deep": 4.0, "engineer": 3.5, "developer": 3.5, "manager": 3.5, "analyst": 3.5, "lead": 3.5, "data": 3.5, "senior": 3.0,
+    "junior": 3.0, "software": 3.0, "system": 3.0, "experience": 2.5, "knowledge": 2.5, "team": 2.5, "skills": 2.0, "strong": 2.0, "excellent": 2.0,
+    "work": 2.0, "good": 1.5,
 }
 DEFAULT_IDF = 2.0
 
@@ -50,14 +53,18 @@ QUERY_DEFAULT = 0.5
 
 # Substrings that show leadership.
 LEADERSHIP = ["led", "managed", "directed", "supervised", "mentored", "coached", "oversaw", "spearheaded", "headed", "coordinated team", "built team", "hired", "grew team", "team of"]
-# Verbs of action of a whole document, and the further ones of a job.
-ACTION_VERBS_GLOBAL = """built developed designed implemented created led managed improved optimized reduced increased launched deployed
-authored architected engineered refactored migrated integrated automated delivered shipped""".split()
+# Verbs of action of a whole document.
+ACTION_VERBS_GLOBAL = [
+    "built", "developed", "designed", "implemented", "created", "led", "managed", "improved", "optimized", "reduced", "increased", "launched",
+    "deployed", "authored", "architected", "engineered", "refactored", "migrated", "integrated", "automated", "delivered", "shipped",
+]
+# Verbs of action of a job.
 ACTION_VERBS = [
-    *ACTION_VERBS_GLOBAL,
-    *"""released established collaborated drove owned transformed scaled revamped streamlined mentored trained wrote analyzed researched
-investigated resolved fixed debugged maintained monitored configured administered supported reviewed""".split(),
-]
+    "built", "developed", "designed", "implemented", "created", "led", "managed", "improved", "optimized", "reduced", "increased", "launched",
+    "deployed", "authored", "architected", "engineered", "refactored", "migrated", "integrated", "automated", "delivered", "shipped", "released",
+    "established", "collaborated", "drove", "owned", "transformed", "scaled", "revamped", "streamlined", "mentored", "trained", "wrote", "analyzed",
+    "researched", "investigated", "resolved", "fixed", "debugged", "maintained", "monitored", "configured", "administered", "supported", "reviewed",
+]
 # Patterns of a figure with a unit, of a bullet and of a whole document.
 QUANTITY = r"[0-9]+[ \t\n\r\f]*(%|x|×|k|\$|million|billion|users|requests|ms|seconds|hours|days|months|years|points|percent)"
 QUANTITY_GLOBAL = r"[0-9]+[ \t\n\r\f]*(%|x|×|k|\$|million|billion|users|ms|seconds)"
@@ -116,7 +123,7 @@ OVERALL_WEIGHTS = {"skills": 0.30, "experience": 0.28, "semantic": 0.20, "educat
 
 
 def idf_terms() -> list[tuple[str, float]]:
-    return [(t, w) for w, terms in IDF.items() for t in terms.split()]
+    return list(IDF.items())
 
 
 def idf_frame(spark: SparkSession) -> DataFrame:

@@ -160,15 +160,16 @@ def _blank(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+", "") == "", F.lit(True))
 
 
-def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def _object(v: Column) -> Column:
+    """Of an object its text and name, which may be null; null for anything else."""
+    return F.try_variant_get(v, "$", "struct<text:variant,name:variant>")
 
 
-def _text(v: Column, is_object: Column) -> Column:
-    """Text of an item: a scalar itself, of an object its text or name."""
-    named = [F.try_variant_get(v, f"$.{k}", "string") for k in ("text", "name")]
+def _text(v: Column, item: Column) -> Column:
+    """Text of an item: a scalar itself, of an object its text or name; item is its `_object`."""
+    named = [F.try_variant_get(item[k], "$", "string") for k in ("text", "name")]
     first = F.coalesce(*[F.when(~_blank(t), t) for t in named])
-    return F.when(is_object, first).when(_array(v).isNull(), F.try_variant_get(v, "$", "string"))
+    return F.when(item.isNotNull(), first).when(_array(v).isNull(), F.try_variant_get(v, "$", "string"))
 
 
 def parse_records(raw: DataFrame, id_col: str, payload: str, places: list[tuple[str, ...]], levels: tuple[Level, ...]) -> DataFrame:
@@ -217,9 +218,9 @@ def child_rows(raw: DataFrame, id_col: str = "raw_id", payload: str = "payload",
             lists.append(F.transform(_as_list(F.col(f"_v{k}")), _two(child)))
         rows = rows.select(id_col, F.explode(F.concat(F.filter(own, lambda r: r["at"] != ""), *[F.coalesce(x, F.slice(own, 1, 0)) for x in lists])).alias("c")).select(id_col, "c.*")
         born = F.col("v").isNotNull()
-        rows = rows.where(~born | ~F.is_variant_null("v")).withColumn("_o", F.when(born, _is_object(F.col("v")))).withColumn("text", F.when(born, _text(F.col("v"), F.col("_o"))).otherwise(F.col("text")))
+        rows = rows.where(~born | ~F.is_variant_null("v")).withColumn("_o", F.when(born, _object(F.col("v")))).withColumn("text", F.when(born, _text(F.col("v"), F.col("_o"))).otherwise(F.col("text")))
         items = [n for n, x in fresh.items() if x.item]
-        rows = rows.where(~born | ~_blank(F.col("text")) | (~F.col("at").isin(*items) & F.col("_o"))).drop("_o")
+        rows = rows.where(~born | ~_blank(F.col("text")) | (~F.col("at").isin(*items) & F.col("_o").isNotNull())).drop("_o")
         wave = {n: x.below for n, x in fresh.items()}
     return rows.select(id_col, "at", "parent_key", "path", "ordinal", "text")
 

@@ -71,15 +71,30 @@ def longest_matches(hits: DataFrame) -> DataFrame:
 def fuzzy_best(values: DataFrame, value_col: str, p: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """(value, canonical, similarity): the most similar pattern of each distinct value at or above the threshold.
 
-    A similarity of t allows lengths within 1 - t of each other only, so values
-    meet patterns by equal length steps instead of all with all.
+    A similarity of t to a name of n letters allows at most k = (1 - t) n / t
+    edits. Of k + 1 parts of the name one must stand unchanged in the value,
+    near its own place: values and names meet by such parts in an equi-join,
+    whatever their number.
     """
-    slack = 1 - threshold
-    v = values.select(F.col(value_col).alias("value"), fuzzy_key(F.col(value_col)).alias("key")).where(F.col("key") != "").distinct()
-    spread = F.sequence(F.ceil(F.length("key") * threshold).cast("int"), F.floor(F.length("key") / threshold).cast("int"))
-    v = v.withColumn("n", F.explode(spread))
-    names = p.select(fuzzy_key("pattern").alias("name"), "canonical", "ord", "alias_ord").where(F.col("name") != "").withColumn("n", F.length("name"))
-    near = v.join(names, "n").where(F.abs(F.length("key") - F.length("name")) <= slack * F.greatest(F.length("key"), F.length("name")) + 1e-9)
+    allowed = lambda n: F.floor((1 - threshold) * F.floor(n / threshold + 1e-9) + 1e-9).cast("int")
+    size = lambda n, k, i: F.floor(n / (k + 1)).cast("int") + (i >= k + 1 - n % (k + 1)).cast("int")
+    start = lambda n, k, i: i * F.floor(n / (k + 1)).cast("int") + F.greatest(F.lit(0), i - (k + 1 - n % (k + 1)))
+    v = values.select(F.col(value_col).alias("value"), fuzzy_key(F.col(value_col)).alias("key")).where(F.col("key") != "").distinct().withColumn("m", F.length("key"))
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("m") * threshold - 1e-9).cast("int")), F.floor(F.col("m") / threshold + 1e-9).cast("int"))
+    v = balanced(v, "value").withColumn("n", F.explode(lengths)).withColumn("k", allowed(F.col("n")))
+    m, n, k = F.col("m"), F.col("n"), F.col("k")
+
+    def places(i: Column) -> Column:
+        at, left = start(n, k, i), k - i
+        low = F.greatest(F.lit(0), at - i, at + m - n - left)
+        high = F.least(m - size(n, k, i), at + i, at + m - n + left)
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda j: F.struct(i.alias("i"), F.substring(F.col("key"), j + 1, size(n, k, i)).alias("part"))))
+
+    probes = F.array_distinct(F.flatten(F.filter(F.transform(F.sequence(F.lit(0), k), places), lambda x: x.isNotNull())))
+    v = v.select("value", "key", "n", F.inline(probes))
+    names = p.select(fuzzy_key("pattern").alias("name"), "canonical", "ord", "alias_ord").where(F.col("name") != "").withColumn("n", F.length("name")).withColumn("k", allowed(n))
+    parts = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), F.substring(F.col("name"), start(n, k, i) + 1, size(n, k, i)).alias("part")))
+    near = v.join(names.select("name", "canonical", "ord", "alias_ord", "n", F.inline(parts)), ["n", "i", "part"])
     scored = near.withColumn("similarity", similarity(F.col("key"), F.col("name"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("value").agg(F.max_by(F.struct("canonical", "similarity"), F.struct("similarity", -F.col("ord"), -F.col("alias_ord"))).alias("b"))
     return best.select("value", "b.canonical", "b.similarity")

@@ -307,6 +307,11 @@ def s10_clean_text(spark, sf):
     return table(spark, sf, "text_extraction").select("doc_id", F.md5(T.clean_text(F.col("full_text"))).alias("clean_md5"))
 
 
+def s10_clean_text_nfkc(spark, sf):
+    """Cleaning with the compatibility form first, which SQL lacks."""
+    return table(spark, sf, "text_extraction").select("doc_id", F.md5(T.clean_text(T.nfkc(F.col("full_text")))).alias("clean_md5"))
+
+
 def s12_page_text(spark, sf):
     """Texts written out as pages, the text in a container of a known name on two of three, and read back."""
     d = table(spark, sf, "documents").where(F.col("text").isNotNull())
@@ -387,7 +392,7 @@ _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     k1_k2_k3_normalizers, k4_k5_alias_precedence, k9_k10_similarity, k7_dictionary_scan, k8_longest_match, k11_fuzzy_best, k12_extract_skills, k13_primary_domain, k14_gap, k15_partial,
     k14_gap_tpch, f_skills_20, l6_corroboration, l8_domain_distribution, sec_lines, sec_headings, sec_sections, sec_preamble,
     f_experience_15, f_education_10, f_quality, c8_rank,
-    s1_json_decode, s4_reject_empty, s11_limits, s8_ocr_routing, s9_ocr_confidence, s10_clean_text, s12_page_text, s14_query_window, l9_vocabulary, l10_set_gap, s1_requests, s5_taxonomy, st_percentiles, st_arrivals,
+    s1_json_decode, s4_reject_empty, s11_limits, s8_ocr_routing, s9_ocr_confidence, s10_clean_text, s10_clean_text_nfkc, s12_page_text, s14_query_window, l9_vocabulary, l10_set_gap, s1_requests, s5_taxonomy, st_percentiles, st_arrivals,
     m1_synthetic, m2_split, m3_gbt, c9_learned, m4_auc, tenure_orders,
 ]
 

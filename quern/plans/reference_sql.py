@@ -50,7 +50,7 @@ def _top(pairs: str, name: str, k: int = 5) -> str:
     return f"""select query_id, rank, doc_id, {name} from (select *, row_number() over(partition by query_id order by {name} desc, doc_id) as rank from (select query_id, doc_id, {_up("s")} {name} from {pairs})) where rank<={k}"""
 
 
-_IDF = "(values " + ",".join(f"({_s(t)},{w}::double)" for t, w in ((t, w) for w, ts in L.IDF.items() for t in ts.split())) + ") idf(term,w)"
+_IDF = "(values " + ",".join(f"({_s(t)},{w}::double)" for t, w in L.IDF.items()) + ") idf(term,w)"
 _PAIRS5 = f"{_BM25}, pr as (select query_id, doc_id from ({_top('bm', 'bm25')}))"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise ValueError("name a shared folder in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="quern-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
 
 

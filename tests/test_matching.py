@@ -148,6 +148,11 @@ def test_percentiles_equal_sorted_lists(spark):
     assert "c" not in got
 
 
+def test_clean_text(spark):
+    rows = spark.createDataFrame([(0, "ﬁne  ①\n\n\n\n•\tx "), (1, ""), (2, None)], "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(T.clean_text(T.nfkc(F.col("t")))).collect()] == ["fine 1\n\n-\tx", "", None]
+
+
 def test_page_text(spark):
     body = "wanted " * 9
     pages = [f"<body><p>menu</p><div class='a job-description b'>{body}<b>x</b></div></body>", "<body><div id='job-details'>short</div> rest</body>", "<script>1</script>plain &amp; simple", "", None]
@@ -162,6 +167,38 @@ def test_model_answers(spark):
     assert [(r.s[:4], len(r.t), r.again) for r in got] == [("fits", 5, False), ("Summ", 0, False), ("AI s", 0, True), ("AI s", 0, True), ("AI s", 0, True)]
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.82, 0.9])
+def test_fuzzy_best_equals_brute_force(spark, threshold):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 22))) for _ in range(60)})
+
+    def changed(w):
+        for _ in range(rng.randrange(0, 7)):
+            k = rng.randrange(0, len(w) + 1)
+            w = w[:k] + rng.choice(["", "a", "bd"]) + w[k + rng.randrange(0, 2) :]
+        return w or "a"
+
+    values = sorted({changed(rng.choice(names)) for _ in range(300)})
+    p = skills.patterns(spark.createDataFrame([(i, n, "x", None) for i, n in enumerate(names)], "ord int, canonical string, category string, aliases array<string>"))
+    got = {r.value: (r.canonical, round(r.similarity, 9)) for r in skills.fuzzy_best(spark.createDataFrame([(v,) for v in values], "v string"), "v", p, threshold).collect()}
+    want = {}
+    for v in values:
+        s, _, n = max((1 - distance(v, n) / max(len(v), len(n)), -i, n) for i, n in enumerate(names))
+        if s >= threshold:
+            want[v] = (n, round(s, 9))
+    assert got == want and want
+
+
 def test_names_within(spark):
     texts = spark.createDataFrame([(1, "reactive c++ and sql"), (2, ""), (3, None), (4, "a")], "id long, text string")
     names = spark.createDataFrame([("react",), ("c",), ("sql",), ("",), (None,), ("go",), ("a",)], "name string")
