@@ -1,9 +1,10 @@
-"""Merged periods and gaps of intervals per entity, through run bitmaps.
+"""Merged periods and gaps of intervals per entity, through compressed run bitmaps.
 
-Time is cut into units and shards of 60 units; an interval becomes one 60-bit
-run per shard that it touches, runs of an entity and shard are united by
-bit_or (combined before the shuffle), and set runs and clear runs are read
-back from the words.
+Time is cut into units and shards of 60 units. An interval becomes a word of
+60 bits for the shards of its two ends and one fill, a count of full words, for
+all shards between them, so that its length doesn't matter. Words of an entity
+and shard are united by bit_or (combined before the shuffle), and set runs and
+clear runs are read back from words and fills.
 """
 
 from __future__ import annotations
@@ -16,18 +17,23 @@ SHARD = 60
 
 
 def run_bitmaps(intervals: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """(entity, shard, bits) of intervals with whole-number ends, both included.
+    """(entity, shard, words, bits) of intervals with whole-number ends, both included.
 
-    Rows with a null end or with end < start are left out.
+    words is 1 for a word and the number of full words for a fill that starts
+    at the shard. Rows with a null end or with end < start are left out.
     """
     s, e = F.col(start).cast("long"), F.col(end).cast("long")
     rows = intervals.where(s.isNotNull() & e.isNotNull() & (s <= e)).select(F.col(entity), s.alias("_s"), e.alias("_e"))
     shard_of = lambda c: F.floor(c / SHARD).cast("long")
-    rows = rows.withColumn("shard", F.explode(F.sequence(shard_of(F.col("_s")), shard_of(F.col("_e")))))
-    lo = F.greatest(F.col("_s") - F.col("shard") * SHARD, F.lit(0)).cast("int")
-    hi = F.least(F.col("_e") - F.col("shard") * SHARD, F.lit(SHARD - 1)).cast("int")
-    word = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), hi - lo + 1) - 1, lo)
-    return rows.groupBy(entity, "shard").agg(F.bit_or(word).alias("bits"))
+    rows = rows.withColumn("_a", shard_of(F.col("_s"))).withColumn("_b", shard_of(F.col("_e")))
+    a, b, last = F.col("_a"), F.col("_b"), F.lit(SHARD - 1).cast("int")
+    lo, hi = (F.col("_s") - a * SHARD).cast("int"), (F.col("_e") - b * SHARD).cast("int")
+    bits = lambda low, high: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), high - low + 1) - 1, low)
+    word = lambda shard, low, high: F.struct(shard.alias("shard"), F.lit(1).cast("long").alias("words"), bits(low, high).alias("bits"))
+    fill = F.struct((a + 1).alias("shard"), (b - a - 1).alias("words"), F.lit((1 << SHARD) - 1).cast("long").alias("bits"))
+    ends = F.when(a == b, F.array(word(a, lo, hi))).otherwise(F.array(word(a, lo, last), word(b, F.lit(0), hi)))
+    parts = F.when(b - a > 1, F.concat(ends, F.array(fill))).otherwise(ends)
+    return rows.select(entity, F.inline(parts)).groupBy(entity, "shard", "words").agg(F.bit_or("bits").alias("bits"))
 
 
 def _set_bits(word: Column) -> Column:
@@ -40,18 +46,19 @@ def periods_and_gaps(bitmaps: DataFrame, entity: str) -> DataFrame:
     bits = F.col("bits")
     starts = bits.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", bits, F.lit(1))))
     ends = bits.bitwiseAND(F.bitwise_not(F.call_function("shiftrightunsigned", bits, F.lit(1))))
-    runs = bitmaps.select(entity, "shard", F.explode(F.arrays_zip(_set_bits(starts).alias("a"), _set_bits(ends).alias("b"))).alias("r")).select(
-        entity, (F.col("shard") * SHARD + F.col("r.a")).alias("from_unit"), (F.col("shard") * SHARD + F.col("r.b")).alias("to_unit")
+    runs = bitmaps.select(entity, "shard", "words", F.explode(F.arrays_zip(_set_bits(starts).alias("a"), _set_bits(ends).alias("b"))).alias("r")).select(
+        entity, (F.col("shard") * SHARD + F.col("r.a")).alias("from_unit"), ((F.col("shard") + F.col("words") - 1) * SHARD + F.col("r.b")).alias("to_unit")
     )
-    w = Window.partitionBy(entity).orderBy("from_unit")
-    fresh = F.coalesce((F.col("from_unit") > F.lag("to_unit").over(w) + 1).cast("int"), F.lit(1))
+    w = Window.partitionBy(entity).orderBy("from_unit", "to_unit")
+    reached = F.max("to_unit").over(w.rowsBetween(Window.unboundedPreceding, -1))  # fills may lie over words
+    fresh = F.coalesce((F.col("from_unit") > reached + 1).cast("int"), F.lit(1))
     merged = (
         runs.withColumn("_new", fresh)
         .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(entity, "_run")
         .agg(F.min("from_unit").alias("from_unit"), F.max("to_unit").alias("to_unit"))
     )
-    rows = merged.withColumn("_next", F.lead("from_unit").over(w))
+    rows = merged.withColumn("_next", F.lead("from_unit").over(Window.partitionBy(entity).orderBy("from_unit")))
     period = F.struct(F.lit("period").alias("kind"), "from_unit", "to_unit")
     gap = F.struct(F.lit("gap").alias("kind"), (F.col("to_unit") + 1).alias("from_unit"), (F.col("_next") - 1).alias("to_unit"))
     both = F.when(F.col("_next").isNull(), F.array(period)).otherwise(F.array(period, gap))

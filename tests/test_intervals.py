@@ -31,6 +31,16 @@ def test_against_brute_force(spark):
     assert I.periods_and_gaps(I.run_bitmaps(df.where(F.lit(False)), "id", "a", "b"), "id").count() == 0
 
 
+def test_long_intervals_stay_few_words(spark):
+    years = 10 * 365 * 86_400
+    rows = [(1, 5, years), (1, 0, 130), (1, years + 1, years + 60), (1, years + 70, 2 * years), (2, -200, 200), (2, 700, 10_000), (2, 50, 4_000)]
+    df = spark.createDataFrame(rows, "id int, a long, b long")
+    words = I.run_bitmaps(df, "id", "a", "b")
+    assert words.count() <= 3 * len(rows)
+    got = {tuple(r) for r in I.periods_and_gaps(words, "id").collect()}
+    assert got == {(1, "period", 0, years + 60), (1, "gap", years + 61, years + 69), (1, "period", years + 70, 2 * years), (2, "period", -200, 10_000)}
+
+
 def test_employment(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [
