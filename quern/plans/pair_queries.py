@@ -72,8 +72,10 @@ def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The feature row of every pair; texts and rows are written once for several readers."""
-    docs = durable(balanced(document_texts(spark, sf), "id"))
-    parts = X.parsed(docs, "id", "text") | {"experience": Q.jobs(spark, sf), "education": Q.schools(spark, sf), "contact": contacts_latest(spark, sf)}
+    asked = table(spark, sf, "cpp_score").select(F.col("doc_id").alias("id")).distinct()
+    of = lambda df: df.join(asked, "id", "left_semi")  # noqa: E731 - documents without a pair aren't read further
+    docs = durable(balanced(of(document_texts(spark, sf)), "id"))
+    parts = X.parsed(docs, "id", "text") | {"experience": of(Q.jobs(spark, sf)), "education": of(Q.schools(spark, sf)), "contact": of(contacts_latest(spark, sf))}
     return P.scored_pairs(scored_pairs(spark, sf), docs, query_texts(spark, sf), parts, Q.taxonomy(spark, sf))
 
 
