@@ -12,6 +12,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from itertools import product
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ GRADES = ("i", "ii", "iii", "iv", "v")
 
 #: The reference list is held by every task up to so many phrases; beyond, it is cut into shards of that size.
 SHARD_PHRASES = 50_000
-#: Readings of a wording that are looked up one by one; beyond, phrases are compared with it word by word.
+#: Readings of a wording that are looked up one by one; beyond, the list is walked along all readings at once, with the same result.
 LISTED = 4096
 #: Distinct values that meet a shard in one task.
 BLOCK_VALUES = 20_000
@@ -164,28 +165,109 @@ def wordings(value: str) -> list[list[str]]:
     return [list(t) for t in found]
 
 
+class Readings:
+    """All readings of a wording as one automaton: a tree of the words of each token, a space leads to the next token's tree."""
+
+    def __init__(self, choices: list[list[str]]) -> None:
+        self.next: list[dict[str, int]] = []
+        root = self._node()
+        self.ends = {root}  # states in which a reading is complete
+        for choice in choices:
+            self.ends = set()
+            for word in choice:
+                at = root
+                for ch in word:
+                    if ch not in self.next[at]:
+                        self.next[at][ch] = self._node()
+                    at = self.next[at][ch]
+                self.ends.add(at)
+            root = self._node()
+            for at in self.ends:
+                self.next[at][" "] = root
+
+    def _node(self) -> int:
+        self.next.append({})
+        return len(self.next) - 1
+
+    def _closed(self, states: dict[int, int], most: int) -> dict[int, int]:
+        """States with those that further letters of a reading lead to, an edit each."""
+        todo = list(states)
+        while todo:
+            at = todo.pop()
+            d = states[at] + 1
+            if d <= most:
+                for to in self.next[at].values():
+                    if d < states.get(to, most + 1):
+                        states[to] = d
+                        todo.append(to)
+        return states
+
+    def start(self, most: int) -> dict[int, int]:
+        return self._closed({0: 0}, most)
+
+    def step(self, states: dict[int, int], ch: str, most: int) -> dict[int, int]:
+        """Fewest edits between beginnings of readings and a text, by state, after one more letter of the text."""
+        found: dict[int, int] = {}
+        for at, d in states.items():
+            for to, e in ((at, d + 1), *((to, d + (x != ch)) for x, to in self.next[at].items())):
+                if e <= most and e < found.get(to, most + 1):
+                    found[to] = e
+        return self._closed(found, most)
+
+    def distance(self, states: dict[int, int], most: int) -> int:
+        """Fewest edits between any reading and the text that led to the states; most + 1 for more."""
+        return min((states[at] for at in self.ends & states.keys()), default=most + 1)
+
+    def has(self, text: list[str | None]) -> bool:
+        """True if a reading has these letters; None stands for any letter."""
+        states = {0}
+        for ch in text:
+            states = {to for at in states for x, to in self.next[at].items() if ch is None or x == ch}
+        return bool(states & self.ends)
+
+    def allows(self, d: int, phrase: str) -> bool:
+        """True if some reading at this distance from a phrase, the smallest of all, is near enough for its own length too."""
+        if d > budget(phrase):
+            return False
+        text = list(phrase)
+        if d == 2 and len(phrase) < 12:
+            return any(self.has([*text[:i], text[i + 1], text[i], *text[i + 2 :]]) for i in range(len(text) - 1))
+        if d == 1 and len(phrase) == 5:  # a reading of 4 letters allows no edit
+            return any(self.has([*text[:i], None, *text[k:]]) for i in range(len(text) + 1) for k in (i, i + 1) if k <= len(text))
+        return True
+
+
 class Matcher:
     """BK-tree of one shard of (phrase, entry_id)."""
 
     def __init__(self, shard: list[tuple[str, int]]) -> None:
         self.tree = BKTree()
-        self.by_length: dict[int, list[tuple[list[str], str, int]]] = {}
+        self.entries: dict[str, int] = {}
         for phrase, entry in sorted(shard, key=lambda x: (x[1], x[0])):
             self.tree.add(phrase, entry)
-            self.by_length.setdefault(len(phrase.split()), []).append((phrase.split(), phrase, entry))
+            self.entries.setdefault(phrase, entry)
+        self.phrases = sorted(self.entries)
 
     @staticmethod
     def _allowed(d: int, reading: str, phrase: str) -> bool:
         return d <= budget(phrase) and not (d == 2 and len(phrase) < 12 and not _swapped(reading, phrase))
 
-    def _word_by_word(self, choices: list[list[str]], best: tuple[int, int] | None) -> tuple[int, int] | None:
-        """The nearest entry over all readings of a wording, phrase by phrase, without listing the readings."""
-        for words, phrase, entry in self.by_length.get(len(choices), ()):
-            nearest = [min(choice, key=lambda c, w=w: (levenshtein(c, w), c)) for choice, w in zip(choices, words, strict=True)]
-            reading = " ".join(nearest)
-            d = sum(levenshtein(c, w) for c, w in zip(nearest, words, strict=True))
-            if d <= budget(reading) and self._allowed(d, reading, phrase) and (best is None or (d, entry) < best):
-                best = (d, entry)
+    def _all_at_once(self, choices: list[list[str]], best: tuple[int, int] | None) -> tuple[int, int] | None:
+        """The nearest entry over all readings of a wording, without listing them: phrases in order, common beginnings once."""
+        readings, most = Readings(choices), 2 if best is None else min(2, best[0])
+        before, reached = "", [readings.start(most)]
+        for phrase in self.phrases:
+            k = len(commonprefix((before, phrase)))
+            before = phrase
+            del reached[k + 1 :]
+            while reached[-1] and len(reached) <= len(phrase):
+                reached.append(readings.step(reached[-1], phrase[len(reached) - 1], most))
+            if len(reached) <= len(phrase):
+                continue
+            d = readings.distance(reached[-1], most)
+            got = (d, self.entries[phrase])
+            if d <= most and (best is None or got < best) and readings.allows(d, phrase):
+                best = got
         return best
 
     def best(self, written: list[list[list[str]]]) -> tuple[int, int] | None:
@@ -200,7 +282,7 @@ class Matcher:
             for ch in choices:
                 size *= len(ch)
             if size > LISTED:
-                best = self._word_by_word(choices, best)
+                best = self._all_at_once(choices, best)
                 continue
             for words in product(*choices):
                 reading = " ".join(words)

@@ -63,3 +63,16 @@ def test_wordings_with_many_readings_keep_their_tolerance():
     many = [["a", "alpha", *[f"a{k}" for k in range(20)]], ["beta", *[f"b{k}" for k in range(20)]], ["gama", *[f"g{k}" for k in range(20)]], ["delta", *[f"d{k}" for k in range(20)]]]
     assert matcher.best([many]) == (1, 7) == matcher.best([[["alpha"], ["beta"], ["gama"], ["delta"]]])
     assert matcher.best([[[f"x{k}" for k in range(90)], ["beta"], [f"y{k}" for k in range(90)], ["delta"]]]) is None
+
+
+def test_many_readings_give_what_listing_them_gives(monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(0, 6)))
+    shards = [[(" ".join(word() for _ in range(rng.randrange(1, 4))), rng.randrange(40)) for _ in range(30)] for _ in range(60)]
+    asked = [[[[word() for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 4))] for _ in range(2)] for _ in shards]
+    shards += [[("data base engineer", 4)], [("database engineer", 4)], [("abcd e", 9)], [("abcde", 9)]]
+    asked += [[[["database"], ["engineer"]]], [[["data"], ["base", "bases"], ["engineer"]]], [[["abcde", "abcd"], ["f", "g"]]], [[["abcd"]]]]
+    listed = [C.Matcher(s).best(w) for s, w in zip(shards, asked, strict=True)]
+    monkeypatch.setattr(C, "LISTED", 0)
+    assert [C.Matcher(s).best(w) for s, w in zip(shards, asked, strict=True)] == listed
+    assert sum(x is not None for x in listed) > 20
